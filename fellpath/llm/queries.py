@@ -9,9 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, substrings, urls
+from . import neardup, quality, substrings, toxicity, urls
 from .shared import Words, load
 
+# --- 2: toxicity ------------------------------------------------------------------------------------------------------
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity, grade and verdict of every document; the model is fitted on labelled documents first."""
+    docs = load(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.fit(docs, load(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return toxicity.score(docs, model).select("doc_id", "expected_severity", "grade", "p_toxic", "is_toxic")
+
+
 # --- 5: url rules -----------------------------------------------------------------------------------------------------
 
 #: Fixed values of the query: host, path, verdict.
@@ -110,9 +120,19 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+# --- 10: near duplicates ----------------------------------------------------------------------------------------------
+
+
+def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near duplicates and number of links of every document."""
+    return neardup.near_duplicates(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op5_url_rules": op5_url_rules,
     "op7_quality_rules": op7_quality_rules,
     "op8_substring_dedup": op8_substring_dedup,
+    "op10_minhash_neardup": op10_minhash_neardup,
 }
 ORACLES = {"op5_url_rules": OP5_SQL, "op7_quality_rules": OP7_SQL, "op8_substring_dedup": OP8_SQL}
