@@ -9,9 +9,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, quality, substrings, toxicity, urls
+from . import bpe, neardup, quality, substrings, toxicity, urls
 from .shared import Words, load
 
+# --- 1: BPE -----------------------------------------------------------------------------------------------------------
+
+
+def _digest_ids(own: bpe.Coder, batch: pa.RecordBatch, ids: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+    decoded = own.decode(ids, bounds)
+    shown = [str(i) for i in range(len(own.tokenizer.pieces))]
+    flat, cuts = ids.tolist(), bounds.tolist()
+    digests = [hashlib.sha256(",".join([shown[i] for i in flat[a:b]]).encode()).hexdigest() for a, b in zip(cuts, cuts[1:], strict=False)]
+    return pa.RecordBatch.from_arrays(
+        [batch.column(batch.schema.get_field_index("doc_id")), pa.array(np.diff(bounds)), pa.array(digests, type=pa.string()), pa.array([hashlib.sha256(d).hexdigest() for d in decoded], type=pa.string())],
+        names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    )
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Number of ids, digest of the ids and digest of the decoded text of every document."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    docs = load(spark, sf_dir, "documents", "doc_id", "text")
+    return bpe.encode(docs, tokenizer, bpe.build_lexicon(docs, tokenizer), _digest_ids, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 # --- 2: toxicity ------------------------------------------------------------------------------------------------------
 
 
@@ -129,6 +153,7 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
     "op5_url_rules": op5_url_rules,
     "op7_quality_rules": op7_quality_rules,
