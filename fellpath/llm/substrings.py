@@ -60,8 +60,13 @@ def _anchor_rows(window: int, gram: int):
             _, place, pieces = anchors(words, words.hashes(), window, gram)
             if len(place):
                 place = np.unique(place)
-                key = batch.column(0).to_numpy(zero_copy_only=False)[words.doc[place]]
-                yield pa.RecordBatch.from_arrays([pa.array(pieces[place].view(np.int64)), pa.array(key)], names=["anchor", "key"])
+                doc, value = words.doc[place], pieces[place]
+                order = np.lexsort((value, doc))  # one row for each anchor of a document, however often its lines repeat
+                doc, value = doc[order], value[order]
+                head = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (value[1:] != value[:-1]))))
+                times = np.diff(np.concatenate((head, [len(doc)])))
+                key = batch.column(0).to_numpy(zero_copy_only=False)[doc[head]]
+                yield pa.RecordBatch.from_arrays([pa.array(value[head].view(np.int64)), pa.array(key), pa.array(times.astype(np.int32))], names=["anchor", "key", "n"])
 
     return run
 
@@ -165,9 +170,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, render=_render_inter
     bound = docs.agg(F.min(F.col("doc_id").cast("long")).alias("low"), F.max(F.col("doc_id").cast("long")).alias("high"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("none"), F.max(F.octet_length("text")).alias("size")).first()
     packed = not bound["none"] and (bound["low"] or 0) >= 0 and (bound["high"] or 0) < 2 ** (62 - START_BITS) and (bound["size"] or 0) < 2**START_BITS
 
-    rows = texts.select("key", "text").mapInArrow(_anchor_rows(window, gram), "anchor long, key long")
-    twice = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    repeated = written(rows.join(twice, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("repeated")), "anchors")
+    rows = texts.select("key", "text").mapInArrow(_anchor_rows(window, gram), "anchor long, key long, n int")
+    twice = rows.groupBy("anchor").agg(F.sum("n").alias("all")).where("all > 1").select("anchor")
+    repeated = written(rows.select("anchor", "key").join(twice, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("repeated")), "anchors")
     dealt = texts.repartition(parts, "key")
     both = dealt.join(repeated, "key", "left")
     if packed:
