@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, neardup, quality, substrings, toxicity, urls
+from . import bpe, contamination, neardup, quality, substrings, toxicity, urls
 from .shared import Words, load
 
 # --- 1: BPE -----------------------------------------------------------------------------------------------------------
@@ -46,6 +46,31 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", "expected_severity", "grade", "p_toxic", "is_toxic")
 
 
+# --- 3: benchmark decontamination -------------------------------------------------------------------------------------
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item and the shared part of its shingles."""
+    return contamination.contaminated(load(spark, sf_dir, "documents", "doc_id", "text"), load(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents
+), b AS (
+  SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark
+), bg AS (
+  SELECT DISTINCT item_id, least(len(w), 5) AS k, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM b WHERE len(w) > 0)
+), q AS (SELECT item_id, count(*) AS q FROM bg GROUP BY item_id),
+dg AS (
+  SELECT DISTINCT doc_id, k, array_to_string(w[i : i + k - 1], ' ') AS g
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM bg) WHERE len(w) >= k)
+)
+SELECT doc_id, item_id, count(*) AS n_shared, any_value(q) AS n_shingles, count(*) / any_value(q) AS containment
+FROM dg JOIN bg USING (k, g) JOIN q USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(q) - 1e-9
+"""
+
 # --- 5: url rules -----------------------------------------------------------------------------------------------------
 
 #: Fixed values of the query: host, path, verdict.
@@ -155,9 +180,10 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
+    "op3_decontamination": op3_decontamination,
     "op5_url_rules": op5_url_rules,
     "op7_quality_rules": op7_quality_rules,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_minhash_neardup": op10_minhash_neardup,
 }
-ORACLES = {"op5_url_rules": OP5_SQL, "op7_quality_rules": OP7_SQL, "op8_substring_dedup": OP8_SQL}
+ORACLES = {"op3_decontamination": OP3_SQL, "op5_url_rules": OP5_SQL, "op7_quality_rules": OP7_SQL, "op8_substring_dedup": OP8_SQL}
