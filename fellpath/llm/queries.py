@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, contamination, neardup, quality, substrings, toxicity, urls
+from . import bpe, contamination, neardup, pii, quality, substrings, toxicity, urls
 from .shared import Words, load
 
 # --- 1: BPE -----------------------------------------------------------------------------------------------------------
@@ -169,6 +169,16 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+# --- 9: personal data -------------------------------------------------------------------------------------------------
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, digest of the base spans and all spans of every document."""
+    docs = load(spark, sf_dir, "documents", "doc_id", "text")
+    found = pii.spans(docs, pii.fit(docs))
+    return found.select("doc_id", *[F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS], F.sha2(pii.listing("base"), 256).alias("base_sha256"), pii.listing("span").alias("spans"))
+
+
 # --- 10: near duplicates ----------------------------------------------------------------------------------------------
 
 
@@ -184,6 +194,7 @@ QUERIES = {
     "op5_url_rules": op5_url_rules,
     "op7_quality_rules": op7_quality_rules,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_pii": op9_pii,
     "op10_minhash_neardup": op10_minhash_neardup,
 }
 ORACLES = {"op3_decontamination": OP3_SQL, "op5_url_rules": OP5_SQL, "op7_quality_rules": OP7_SQL, "op8_substring_dedup": OP8_SQL}
