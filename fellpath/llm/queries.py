@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, contamination, neardup, pii, quality, substrings, toxicity, urls
+from . import bpe, contamination, html, neardup, pii, quality, substrings, toxicity, urls
 from .shared import Words, load
 
 # --- 1: BPE -----------------------------------------------------------------------------------------------------------
@@ -99,6 +99,15 @@ WITH p AS (
 SELECT s.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM s LEFT JOIN fit USING (page_id)
 """
 
+# --- 6: main text of pages --------------------------------------------------------------------------------------------
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = html.main_text(load(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 # --- 7: quality rules -------------------------------------------------------------------------------------------------
 
 
@@ -192,6 +201,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
     "op5_url_rules": op5_url_rules,
+    "op6_html_text": op6_html_text,
     "op7_quality_rules": op7_quality_rules,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_pii": op9_pii,
