@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, contamination, html, neardup, pii, quality, substrings, toxicity, urls
+from . import bpe, contamination, html, licenses, neardup, pii, quality, substrings, toxicity, urls
 from .shared import Words, load
 
 # --- 1: BPE -----------------------------------------------------------------------------------------------------------
@@ -71,6 +71,14 @@ SELECT doc_id, item_id, count(*) AS n_shared, any_value(q) AS n_shingles, count(
 FROM dg JOIN bg USING (k, g) JOIN q USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(q) - 1e-9
 """
 
+# --- 4: license scans -------------------------------------------------------------------------------------------------
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license notice of every document, with the bytes saved and the differences in wording."""
+    return licenses.scan(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 # --- 5: url rules -----------------------------------------------------------------------------------------------------
 
 #: Fixed values of the query: host, path, verdict.
@@ -200,6 +208,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
+    "op4_license_scan": op4_license_scan,
     "op5_url_rules": op5_url_rules,
     "op6_html_text": op6_html_text,
     "op7_quality_rules": op7_quality_rules,
