@@ -15,8 +15,8 @@ Plan, at any size:
 1. Equal bags are one unit (an aggregation over a 128-bit digest of the sorted bag); copies never meet each other again.
 2. ``BANDS`` bands of ``ROWS`` registers: pairs of similarity 0.8 share no band with probability 5e-6. Every unit of a band
    bucket is verified against the bucket's smallest unit only (a join that adaptive execution may split).
-3. Units of one bucket that are still in different classes are compared by whole signatures, in blocks, leaving out pairs
-   inside the bucket's largest class; pairs whose estimate is near the threshold or above are verified too.
+3. Units of buckets that still hold several classes are joined across classes by an exact prefix filter over their shingles,
+   rare shingles first, and verified too, so that no link is lost that the smallest unit of a bucket does not have.
 4. Classes by contraction: each class joins its smallest neighbour, until no link crosses classes.
 
 Defined results: documents without words are alone in their class; the class id is the smallest document id in it (a null id
@@ -29,7 +29,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,10 +36,6 @@ from pyspark.sql import functions as F
 from .shared import Words, id_key, mix, small_batches, steps, strings, written
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 40, 6
-#: Pairs whose estimated similarity is below this are left out; six standard errors under the threshold.
-ESTIMATE = 0.64
-#: Units of one block when whole signatures are compared.
-BLOCK = 1000
 _NONE = -(2**63)
 _C1, _C2, _C3 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
@@ -124,10 +119,9 @@ def _signature_rows(bands: int, rows: int):
             digests = [hashlib.blake2b(data[cut[i] : cut[i + 1]].tobytes(), digest_size=16).digest() for i in range(n)]
             pair = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(n, 2)
             total = np.bincount(doc, weights=weight, minlength=n).astype(np.int64)
-            short = (sig & np.uint64(0xFE)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(total), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(mixed.reshape(-1).view(np.int64))), pa.array([s.tobytes() for s in short], type=pa.binary())],
-                names=["key", "d1", "d2", "size", "bands", "sig"],
+                [batch.column(0), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(total), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(mixed.reshape(-1).view(np.int64)))],
+                names=["key", "d1", "d2", "size", "bands"],
             )
 
     return run
@@ -189,40 +183,39 @@ def components(links: DataFrame) -> DataFrame:
         of = written(of.join(hang.withColumnRenamed("b", "class"), "class", "left").select("key", F.coalesce("to", "class").alias("class")), "classes")
 
 
-def _compare(threshold: float):
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        left, right = frame[frame["side"] == 0], frame[frame["side"] == 1]
-        out = []
-        if len(left) and len(right):
-            sig = np.frombuffer(b"".join(right["sig"]), dtype=np.uint8).reshape(len(right), -1)
-            size, of, unit = right["size"].to_numpy(), right["class"].to_numpy(), right["unit"].to_numpy()
-            for s, n, c, u in zip(left["sig"], left["size"], left["class"], left["unit"], strict=True):
-                agree = (sig == np.frombuffer(s, dtype=np.uint8)).mean(axis=1)
-                ok = (agree >= ESTIMATE) & (of != c) & (np.minimum(size, n) >= threshold * np.maximum(size, n))
-                out += [(min(u, v), max(u, v)) for v in unit[ok].tolist()]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
-
-    return run
+def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, buf, offsets in steps(batches):
+        doc, value, weight = bags(Words(buf, offsets))
+        total = np.bincount(doc, weights=weight, minlength=len(offsets) - 1).astype(np.int64)
+        nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)  # the k-th copy of a shingle is a token of its own
+        token = mix(np.repeat(value, weight) + nth.astype(np.uint64) * _C2)
+        own = np.repeat(doc, weight)
+        key = batch.column(0).to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(token.view(np.int64)), pa.array(total[own])], names=["unit", "token", "n"])
 
 
-def crossing(buckets: DataFrame, of: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of units of one bucket that are in different classes and whose signatures are near the threshold.
+def crossing(buckets: DataFrame, of: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of units that may be linked across classes, among the units of buckets that hold several classes.
 
-    buckets: (band, value, unit) of buckets with two units at least. In each bucket, units outside its largest class (the
-    queries) are compared with all units, block by block, so that no task gets a whole large bucket.
+    An exact prefix filter: in one order of all tokens (rare ones first), two bags of similarity t share a token among the first
+    n - ceil(t n) + 1 of both. Passages that many documents share are common and so come last. Of a token's units those
+    outside its largest class meet all others of another class; nothing is emitted within a class.
     """
     rows = buckets.join(of.withColumnRenamed("key", "unit"), "unit", "left").withColumn("class", F.coalesce("class", "unit"))
-    per = rows.groupBy("band", "value", "class").agg(F.count(F.lit(1)).alias("n"))
-    most = per.groupBy("band", "value").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    most = most.select("band", "value", F.col("top.class").alias("largest"), F.col("all"), (F.col("all") - F.col("top.n")).alias("rest"))
-    rows = rows.join(most, ["band", "value"]).join(units.select("unit", "size", "sig"), "unit")
-    blocks = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("int")
-    spot = lambda n: F.pmod(F.xxhash64("unit"), blocks(n)).cast("int")
-    every = lambda n: F.sequence(F.lit(0), blocks(n) - 1)
-    columns = ("band", "value", "unit", "class", "size", "sig")
-    queries = rows.where("class <> largest").withColumn("i", spot("rest")).select(*columns, "i", F.explode(every("all")).alias("j"), F.lit(0).alias("side"))
-    others = rows.withColumn("j", spot("all")).select(*columns, F.explode(every("rest")).alias("i"), "j", F.lit(1).alias("side"))
-    return queries.unionByName(others).groupBy("band", "value", "i", "j").applyInPandas(_compare(threshold), "a long, b long").distinct()
+    mixed = rows.groupBy("band", "value").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("band", "value")
+    involved = written(rows.join(mixed, ["band", "value"]).select("unit", "class").distinct(), "involved")
+    near = texts.withColumnRenamed("key", "unit").join(involved, "unit", "left_semi").select("unit", "text")
+    tokens = written(near.mapInArrow(_token_rows, "unit long, token long, n long").distinct(), "tokens")
+    spread = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    ranked = tokens.join(spread, "token").groupBy("unit", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    first = ranked.select("unit", "n", F.explode(F.slice("t", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).cast("int"))).alias("x")).where("x.df > 1")
+    held = first.select("unit", "n", F.col("x.token").alias("token")).join(involved, "unit")
+    per = held.groupBy("token", "class").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max(F.struct("c", "class")).alias("top"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    held = written(held.join(per.select("token", F.col("top.class").alias("largest")), "token"), "prefixes")
+    left = held.where("class <> largest").select("token", F.col("unit").alias("u"), F.col("class").alias("cu"), F.col("n").alias("nu"))
+    right = held.select("token", F.col("unit").alias("v"), F.col("class").alias("cv"), F.col("n").alias("nv"))
+    alike = (F.col("cu") != F.col("cv")) & (F.least("nu", "nv") >= F.lit(threshold) * F.greatest("nu", "nv") - 1e-9)
+    return left.join(right, "token").where(alike).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -232,18 +225,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     """
     small_batches(docs.sparkSession)
     texts = docs.select(id_key().alias("key"), F.col("text").cast("string").alias("text"))
-    sigs = written(texts.mapInArrow(_signature_rows(bands, rows), "key long, d1 long, d2 long, size long, bands array<long>, sig binary"), "signatures")
+    sigs = written(texts.mapInArrow(_signature_rows(bands, rows), "key long, d1 long, d2 long, size long, bands array<long>"), "signatures")
     full = sigs.where("size > 0")
-    units = written(full.groupBy("d1", "d2").agg(F.min("key").alias("unit"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig")), "units")
+    units = written(full.groupBy("d1", "d2").agg(F.min("key").alias("unit"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands")), "units")
     spread = units.select("unit", "size", F.posexplode("bands").alias("band", "value"))
-    hubs = spread.groupBy("band", "value").agg(F.min("unit").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    buckets = written(spread.join(hubs, ["band", "value"]), "buckets")
-    stars = buckets.where("unit <> hub").select(F.col("hub").alias("a"), F.col("unit").alias("b"))
+    hubs = spread.groupBy("band", "value").agg(F.min(F.struct("unit", "size")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = written(spread.join(hubs.select("band", "value", F.col("hub.unit").alias("hub"), F.col("hub.size").alias("hub_size")), ["band", "value"]), "buckets")
+    alike = F.least("size", "hub_size") >= F.lit(threshold) * F.greatest("size", "hub_size") - 1e-9
+    stars = buckets.where("unit <> hub").where(alike).select(F.col("hub").alias("a"), F.col("unit").alias("b"))
     links = verified(stars, texts, threshold, "stars")
     of = components(links)
-    more = written(crossing(buckets.select("band", "value", "unit"), of, units, threshold), "crossing")
+    more = written(crossing(buckets.select("band", "value", "unit"), of, texts, threshold), "crossing")
     if not more.isEmpty():
-        links = links.unionByName(verified(more, texts, threshold, "crossing"))
+        links = written(links.unionByName(verified(more, texts, threshold, "crossing")), "links")
         of = components(links)
     ends = links.select(F.explode(F.array("a", "b")).alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("n_links"))
     member = sigs.select("key", "size", "d1", "d2").distinct().join(units.select("d1", "d2", "unit"), ["d1", "d2"], "left")
