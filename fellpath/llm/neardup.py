@@ -15,8 +15,9 @@ Plan, at any size:
 1. Equal bags are one unit (an aggregation over a 128-bit digest of the sorted bag); copies never meet each other again.
 2. ``BANDS`` bands of ``ROWS`` registers: pairs of similarity 0.8 share no band with probability 5e-6. Every unit of a band
    bucket is verified against the bucket's smallest unit only (a join that adaptive execution may split).
-3. Units of buckets that still hold several classes are joined across classes by an exact prefix filter over their shingles,
-   rare shingles first, and verified too, so that no link is lost that the smallest unit of a bucket does not have.
+3. Units of buckets that still hold several classes form families; inside a family, units of different classes are compared
+   exactly, in blocks inside tasks, so that no link is lost that the smallest unit of a bucket does not have, and no list
+   of compared pairs is ever made.
 4. Classes by contraction: each class joins its smallest neighbour, until no link crosses classes.
 
 Defined results: documents without words are alone in their class; the class id is the smallest document id in it (a null id
@@ -29,6 +30,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +38,8 @@ from pyspark.sql import functions as F
 from .shared import Words, id_key, mix, small_batches, steps, strings, written
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 40, 6
+#: Units of one block, and tokens of one slice, when families are compared.
+BLOCK, TOKENS = 1500, 4096
 _NONE = -(2**63)
 _C1, _C2, _C3 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
@@ -183,45 +187,98 @@ def components(links: DataFrame) -> DataFrame:
         of = written(of.join(hang.withColumnRenamed("b", "class"), "class", "left").select("key", F.coalesce("to", "class").alias("class")), "classes")
 
 
-def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, buf, offsets in steps(batches):
-        doc, value, weight = bags(Words(buf, offsets))
-        total = np.bincount(doc, weights=weight, minlength=len(offsets) - 1).astype(np.int64)
-        nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)  # the k-th copy of a shingle is a token of its own
-        token = mix(np.repeat(value, weight) + nth.astype(np.uint64) * _C2)
-        own = np.repeat(doc, weight)
-        key = batch.column(0).to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(token.view(np.int64)), pa.array(total[own])], names=["unit", "token", "n"])
+def overlap_matrix(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the common parts of every left and right set of tokens, by matrix products over slices of the tokens."""
+    def laid(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+
+    (a, ra), (b, rb) = laid(left), laid(right)
+    shared = np.intersect1d(a, b)
+    ia, ib = np.searchsorted(shared, a), np.searchsorted(shared, b)
+    ha = np.flatnonzero(shared[np.minimum(ia, len(shared) - 1)] == a) if len(shared) else np.zeros(0, np.int64)
+    hb = np.flatnonzero(shared[np.minimum(ib, len(shared) - 1)] == b) if len(shared) else np.zeros(0, np.int64)
+    ia, ra, ib, rb = ia[ha], ra[ha], ib[hb], rb[hb]
+    ka, kb = np.argsort(ia, kind="stable"), np.argsort(ib, kind="stable")
+    ia, ra, ib, rb = ia[ka], ra[ka], ib[kb], rb[kb]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    for low in range(0, len(shared), TOKENS):
+        x, y = np.zeros((len(left), TOKENS), np.float32), np.zeros((len(right), TOKENS), np.float32)
+        for rows, at, m in ((ra, ia, x), (rb, ib, y)):
+            i, j = np.searchsorted(at, (low, low + TOKENS))
+            m[rows[i:j], at[i:j] - low] = 1
+        out += x @ y.T
+    return out
+
+
+def _tokens(texts: list[str]) -> list[np.ndarray]:
+    """The bag of each text as a set: the k-th copy of a shingle is a token of its own."""
+    out = []
+    for text in texts:
+        doc, value, weight = bags(Words(*strings(pa.array([text], type=pa.string()))))
+        nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+        out.append(mix(np.repeat(value, weight) + nth.astype(np.uint64) * _C2))
+    return out
+
+
+def _block_links(threshold: float):
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["unit", "side"], kind="stable")
+        same = key[1] == key[2]
+        left = frame if same else frame[frame["side"] == 0]
+        right = frame if same else frame[frame["side"] == 1]
+        out = []
+        if len(left) and len(right):
+            x = _tokens(left["text"].tolist())
+            y = x if same else _tokens(right["text"].tolist())
+            nx, ny = np.array([len(t) for t in x]), np.array([len(t) for t in y])
+            common = overlap_matrix(x, y)
+            total = nx[:, None] + ny[None, :] - common
+            apart = left["class"].to_numpy()[:, None] != right["class"].to_numpy()[None, :]
+            i, j = np.nonzero((common >= (threshold - 1e-9) * total) & (total > 0) & apart)
+            u, v, w = left["unit"].to_numpy()[i], right["unit"].to_numpy()[j], (common[i, j] / total[i, j]).astype(float)
+            cu, cv = left["class"].to_numpy()[i], right["class"].to_numpy()[j]
+            up: dict[int, int] = {}
+
+            def top(c: int) -> int:
+                while up.get(c, c) != c:
+                    up[c] = up.get(up[c], up[c])
+                    c = up[c]
+                return c
+
+            for k in np.lexsort((v, u, -w)).tolist():  # of the links of a block, those that join classes not joined yet
+                p, q = top(int(cu[k])), top(int(cv[k]))
+                if p != q:
+                    up[max(p, q)] = min(p, q)
+                    out.append((int(min(u[k], v[k])), int(max(u[k], v[k])), float(w[k])))
+        return pd.DataFrame(sorted(set(out)), columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
+
+    return run
 
 
 def crossing(buckets: DataFrame, of: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of units that may be linked across classes, among the units of buckets that hold several classes.
+    """Links (a, b, similarity) across classes, among the units of buckets that hold several classes; written.
 
-    An exact prefix filter: in one order of all tokens (rare ones first), two bags of similarity t share a token among the first
-    n - ceil(t n) + 1 of both. Passages that many documents share are common and so come last. Of a token's units those
-    outside its largest class meet all others of another class; nothing is emitted within a class.
+    Units that such buckets connect are a family. Inside a family all units of different classes are compared exactly, block by
+    block of at most ``BLOCK`` units, inside a task; what comes out are links only, never the pairs that were compared.
     """
     rows = buckets.join(of.withColumnRenamed("key", "unit"), "unit", "left").withColumn("class", F.coalesce("class", "unit"))
     mixed = rows.groupBy("band", "value").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("band", "value")
-    involved = written(rows.join(mixed, ["band", "value"]).select("unit", "class").distinct(), "involved")
-    near = texts.withColumnRenamed("key", "unit").join(involved, "unit", "left_semi").select("unit", "text")
-    tokens = written(near.mapInArrow(_token_rows, "unit long, token long, n long").distinct(), "tokens")
-    spread = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ranked = tokens.join(spread, "token").groupBy("unit", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-    first = ranked.select("unit", "n", F.explode(F.slice("t", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).cast("int"))).alias("x")).where("x.df > 1")
-    held = first.select("unit", "n", F.col("x.token").alias("token")).join(involved, "unit")
-    per = held.groupBy("token", "class").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max(F.struct("c", "class")).alias("top"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    held = written(held.join(per.select("token", F.col("top.class").alias("largest")), "token"), "prefixes")
-    left = held.where("class <> largest").select("token", F.col("unit").alias("u"), F.col("class").alias("cu"), F.col("n").alias("nu"))
-    right = held.select("token", F.col("unit").alias("v"), F.col("class").alias("cv"), F.col("n").alias("nv"))
-    alike = (F.col("cu") != F.col("cv")) & (F.least("nu", "nv") >= F.lit(threshold) * F.greatest("nu", "nv") - 1e-9)
-    return left.join(right, "token").where(alike).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    involved = written(rows.join(mixed, ["band", "value"]).select("unit", "class", "hub").distinct(), "involved")
+    family = components(involved.select(F.col("unit").alias("a"), F.col("hub").alias("b")).distinct())
+    member = involved.select("unit", "class").distinct().join(family.select(F.col("key").alias("unit"), F.col("class").alias("family")), "unit")
+    sizes = member.groupBy("family").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
+    member = member.join(sizes.select("family", "blocks"), "family").withColumn("block", F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int"))
+    member = member.join(texts.withColumnRenamed("key", "unit"), "unit").dropDuplicates(["unit"])
+    # block pairs i <= j: a unit is on the left of the pairs (block, j) and on the right of the pairs (i, block)
+    places = F.concat(F.transform(F.sequence(F.col("block"), F.col("blocks") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(0).alias("side"))), F.when(F.col("block") > 0, F.transform(F.sequence(F.lit(0), F.col("block") - 1), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side")))).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>")))
+    spread = member.select("family", "unit", "class", "text", F.explode(places).alias("p")).select("family", "p.i", "p.j", "p.side", "unit", "class", "text")
+    return written(spread.groupBy("family", "i", "j").applyInPandas(_block_links(threshold), "a long, b long, similarity double"), "crossing")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, class_id (smallest id of its class) and n_links.
 
-    n_links counts the verified links of the document's unit; copies with equal bags share their unit.
+    n_links counts the verified links of the document's unit that hold its class together; copies with equal bags share their unit.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(id_key().alias("key"), F.col("text").cast("string").alias("text"))
@@ -235,9 +292,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     stars = buckets.where("unit <> hub").where(alike).select(F.col("hub").alias("a"), F.col("unit").alias("b"))
     links = verified(stars, texts, threshold, "stars")
     of = components(links)
-    more = written(crossing(buckets.select("band", "value", "unit"), of, texts, threshold), "crossing")
+    more = crossing(buckets.select("band", "value", "unit", "hub"), of, texts, threshold)
     if not more.isEmpty():
-        links = written(links.unionByName(verified(more, texts, threshold, "crossing")), "links")
+        links = written(links.unionByName(more).groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "links")
         of = components(links)
     ends = links.select(F.explode(F.array("a", "b")).alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("n_links"))
     member = sigs.select("key", "size", "d1", "d2").distinct().join(units.select("d1", "d2", "unit"), ["d1", "d2"], "left")
