@@ -29,6 +29,8 @@ from .shared import small_batches
 
 #: Share of a template's words that a block must have, in order.
 COVER = 0.8
+#: Words below which a template must not miss a word that only its license has.
+SHORT = 12
 #: Units without a cue that may stand between two units of one block.
 GAP = 4
 #: Characters from which a line is cut into sentences.
@@ -118,6 +120,8 @@ class Judge:
 
     def __post_init__(self) -> None:
         self.known = [(name, words(t), self._with(t)) for name, ts in self.templates.items() for t in ts]
+        held = {name: {w for t in ts for w in words(t)} for name, ts in self.templates.items()}
+        self.telling = {name: own - set().union(*[x for other, x in held.items() if other != name]) for name, own in held.items()}
         self.alone = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
         self.memo: dict[bytes, list] = {}
 
@@ -155,8 +159,8 @@ class Judge:
             if len(added) > (1 - COVER) * len(template) + 1:
                 continue
             missing = [w for k, w in enumerate(template) if k not in had]
-            if any(ch.isdigit() for w in missing for ch in w):
-                continue  # another version is another license
+            if any(ch.isdigit() for w in missing for ch in w) or (len(template) < SHORT and any(w in self.telling[name] for w in missing)):
+                continue  # another version or another name is another license
             for k in range(first, stop):
                 free[k] = False
             seen.add(name)
