@@ -293,8 +293,6 @@ def extract(page: str | None, host_wrapper: list | None) -> str:
                 if c.kind != "boilerplate":
                     walk(c)
                     flush()
-        if node.tag == "#":
-            flush()
 
     for r in roots or [root]:
         walk(r)

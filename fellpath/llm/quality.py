@@ -73,9 +73,8 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
             "_h": F.when(F.size("_w") >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.struct(F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("i"))))),
         }
     )
-    same = lambda x, j: (F.get("_h", j - 1)["h"] == x["h"]) | (F.get("_h", j + 1)["h"] == x["h"])
-    step = step.withColumn("_p", F.sort_array(F.transform(F.filter("_h", lambda x, j: F.coalesce(F.get("_h", j - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get("_h", j + 1)["h"] == x["h"], F.lit(False))), lambda x: x["i"])))
-    del same
+    beside = lambda x, j: F.coalesce(F.get("_h", j)["h"] == x["h"], F.lit(False))
+    step = step.withColumn("_p", F.sort_array(F.transform(F.filter("_h", lambda x, j: beside(x, j - 1) | beside(x, j + 1)), lambda x: x["i"])))
     gaps = F.aggregate(F.transform("_p", lambda p, j: F.when(j == 0, F.lit(3)).otherwise(F.least(F.lit(3), p - F.get("_p", j - 1)))), F.lit(0), lambda a, b: a + b)
     step = step.withColumn("n_repeat_words", F.coalesce(gaps, F.lit(0)).cast("long"))
     part = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))

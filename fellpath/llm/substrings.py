@@ -107,14 +107,12 @@ def _removed(window: int, gram: int, render):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, buf, offsets in steps(batches):
             words, _, at = _candidates(batch, buf, offsets, window, gram)
-            own = words.doc[at]
             lists = batch.column(batch.schema.get_field_index("firsts"))
             keep = np.zeros(len(at), dtype=bool)
             size = np.array(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
             if len(at) and size.sum():
                 flat = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), dtype=np.int64)
                 keep = np.isin(at, words.first[np.repeat(np.arange(len(size)), size)] + flat)
-                del own
             cover = np.zeros(len(words) + 1, dtype=np.int64)
             gone = at[~keep]
             np.add.at(cover, gone, 1)

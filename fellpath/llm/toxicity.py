@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Words, mix, small_batches, steps, written
+from .shared import _BASE, _BYTE, _LOWER, Words, mix, small_batches, steps, written
 
 #: Labelled documents of either label that are used for fitting, at most.
 PER_CLASS = 3000
@@ -51,8 +51,6 @@ class Model:
 
 def features(words: Words) -> list[np.ndarray]:
     """For each kind of feature, a hash for each word; 0 where a word is too short."""
-    from .shared import _BASE, _BYTE, _LOWER
-
     low = _LOWER[words.buf]
     size = words.end - words.start
     out = [words.hashes(lower=True) | np.uint64(1)]
@@ -139,9 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_feat
 def ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray, width: int, rounds: int = 400, penalty: float = 0.02, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds of the cumulative-link model, by gradient steps with Adam's step sizes."""
     n, kinds = len(grade), int(max(GRADES, grade.max(initial=0) + 1))
-    above = grade[:, None] > np.arange(kinds - 1)[None, :]
-    w, theta = np.zeros(width), np.linspace(0.0, 2.0, kinds - 1)
-    x = np.concatenate((w, [theta[0]], np.log(np.diff(theta))))
+    theta = np.linspace(0.0, 2.0, kinds - 1)
+    x = np.concatenate((np.zeros(width), [theta[0]], np.log(np.diff(theta))))
     m, v = np.zeros_like(x), np.zeros_like(x)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for step in range(1, rounds + 1):
@@ -164,7 +161,6 @@ def ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarr
         g = np.concatenate((g_w, [tail[0]], tail[1:] * gaps))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         x = x - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    del above
     return x[:width], x[width] + np.concatenate(([0.0], np.cumsum(np.exp(x[width + 1 :]))))
 
 
