@@ -157,10 +157,8 @@ def _verify(threshold: float):
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, name: str) -> DataFrame:
     """The pairs (a, b) of keys whose texts are similar enough, with the similarity; written."""
     pairs = written(pairs.select("a", "b").distinct(), f"{name}-pairs")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    near = written(texts.join(involved, "key", "left_semi"), f"{name}-texts")
-    with_b = pairs.join(near.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-    rows = with_b.join(near.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    with_b = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+    rows = with_b.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
     return written(rows.mapInArrow(_verify(threshold), "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity")), f"{name}-links")
 
 
@@ -290,9 +288,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     buckets = written(spread.join(hubs.select("band", "value", F.col("hub.unit").alias("hub"), F.col("hub.size").alias("hub_size")), ["band", "value"]), "buckets")
     alike = F.least("size", "hub_size") >= F.lit(threshold) * F.greatest("size", "hub_size") - 1e-9
     stars = buckets.where("unit <> hub").where(alike).select(F.col("hub").alias("a"), F.col("unit").alias("b"))
-    links = verified(stars, texts, threshold, "stars")
+    # the texts of all units that share a bucket with another, taken from the corpus once
+    near = written(texts.join(buckets.select(F.col("unit").alias("key")).distinct(), "key", "left_semi"), "texts")
+    links = verified(stars, near, threshold, "stars")
     of = components(links)
-    more = crossing(buckets.select("band", "value", "unit", "hub"), of, texts, threshold)
+    more = crossing(buckets.select("band", "value", "unit", "hub"), of, near, threshold)
     if not more.isEmpty():
         links = written(links.unionByName(more).groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "links")
         of = components(links)
