@@ -224,3 +224,26 @@ def test_sessions(spark):
 def test_priority_and_floor(spark):
     r = spark.range(1).select(X.to_coarse(F.lit(-5), 32).alias("a"), X.disc_center(F.lit(1), 5).alias("b"), X.priority(F.lit(2.0), F.lit(3.0), 0.5).alias("c")).first()
     assert tuple(r) == (-1, 7, 3.5)
+
+
+def test_route_cells_in_sql(spark):
+    from fellpath.functions.sql import register
+
+    register(spark)
+    frame(spark, [[1.0, 1.0, 9.0], [9.0, 1.0, 1.0]]).createOrReplaceTempView("grid_cells")
+    rows = spark.sql("SELECT p.* FROM (SELECT collect_list(struct(row, col, cost)) AS cells FROM grid_cells) g, LATERAL route_cells(g.cells, 0, 0, 1, 2, 1.0D, 1.0D) p ORDER BY seq").collect()
+    assert [(r.row, r.col) for r in rows] == [(0, 0), (1, 1), (1, 2)] and rows[0].g == 0.0
+
+
+def test_stream_of_requests(spark, tmp_path):
+    from fellpath.streaming.requests import serve
+
+    grid = [[1.0] * 12 for _ in range(12)]
+    meta = RasterMeta((1.0, 0.0, 0.0, 0.0, -1.0, 0.0), 12, 12)
+    ask = spark.createDataFrame([(1, 2, 0, 0, 11, 11)], "origin int, dest int, r1 int, c1 int, r2 int, c2 int")
+    ask.write.parquet(f"{tmp_path}/ask")
+    stream = spark.readStream.schema(ask.schema).parquet(f"{tmp_path}/ask")
+    got = []
+    query = serve(stream, frame(spark, grid), meta, RouteConfig(factors=(4,), buffer=6), lambda df, n: got.extend(df.collect()), f"{tmp_path}/checkpoint")
+    query.awaitTermination(120)
+    assert len(got) == 1 and got[0].status == "ok" and math.isclose(got[0].cost, 11 * math.sqrt(2))
