@@ -18,6 +18,15 @@ from .cluster import cut
 log = logging.getLogger("fellpath")
 
 
+def log_to(path: str) -> None:
+    """Append the engine's messages to a file on the driver, and show them on its console."""
+    form = logging.Formatter("%(asctime)s %(levelname)s %(message)s")
+    for handler in (logging.FileHandler(path, mode="a", encoding="utf-8"), logging.StreamHandler()):
+        handler.setFormatter(form)
+        log.addHandler(handler)
+    log.setLevel(logging.INFO)
+
+
 def load(spark: SparkSession, raster: str, points: str, polygon: str | None, config: RouteConfig) -> tuple[RasterMeta, DataFrame, DataFrame, DataFrame | None]:
     """(meta, pixels, points with row and col, mask): layers are loaded, their CRSs checked and the points' policy applied.
 
