@@ -1,22 +1,26 @@
 """License scans by conditional compression.
 
 A document is cut into units (lines; sentences of long lines). Units with a cue (license, copyright, warranty, ...) and the few
-units between them are a candidate block. A block is compressed by zstandard alone, and again with each license template as
-a raw dictionary: the more of a template's wording the block has, the smaller it gets. Templates are ranked by the bytes saved; the
-best-ranked one whose wording the block really has (words aligned one by one, at least ``COVER`` of the template's words in
-order) wins, and the words that are missing or added are reported. A verdict is ``exact`` (the template's words in one
-run), ``modified`` (with differences) or ``unknown`` (no template is confirmed).
+units between them are a candidate block. Notices are sought in a block and in as many words before and after it as a notice may
+have. Where a window has enough of a template's words, they are aligned one by one (at least ``COVER`` of the template's words in
+order); the words of each such place are compressed by zstandard alone, and again with the template as a raw dictionary: the more
+of its wording they have, the smaller they get. Places are ranked by the bytes saved; the best takes its words, and templates are
+aligned again with the words still free until none fits. Words that are missing or added are reported. A verdict is ``exact`` (the
+template's words in one run), ``modified`` (with differences) or ``unknown`` (a block that no notice touches).
 
-One pass over the documents without a shuffle; texts without a cue never leave the JVM. Blocks that repeat are judged once in a
-worker's bounded memory.
+One pass over the documents without a shuffle; texts without a cue never leave the JVM. Unknown blocks that repeat are compressed once in
+a worker's bounded memory.
 
-Defined results: null or empty texts, and texts without cues, have no rows; positions count code points, ends are exclusive.
+Defined results: null or empty texts, and texts without cues, have no rows; positions (of a notice's words, or of an
+unknown block) count code points, ends are exclusive.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,9 +40,11 @@ GAP = 4
 #: Characters from which a line is cut into sentences.
 LONG_LINE = 240
 LEVEL = 9
-#: Blocks that a worker remembers.
+#: Unknown blocks that a worker remembers.
 MEMO = 20_000
-CUE = r"(?i)licen[cs]|copyright|©|rights reserved|permission is hereby|without warrant|warranty|public domain|creative commons|\bcc[ -]by\b|\bcc0\b|redistribution and use|gnu (?:lesser |affero )?general public"
+#: What stands between the words of a cue: also a line's end and the marks of a comment.
+_BETWEEN = r"[\s#*/;%|>!-]{1,12}"
+CUE = r"(?i)licen[cs]|copyright|©|rights reserved|permission is hereby|without warrant|warranty|public domain|creative commons|\bcc-by\b|\bcc by\b|\bcc0\b|redistribution and use|gnu (?:lesser |affero )?general public".replace(" ", _BETWEEN)
 
 #: Notices of common licenses, by SPDX name.
 TEMPLATES = {
@@ -99,22 +105,63 @@ def units(text: str) -> list[tuple[int, int]]:
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
-    """Candidate blocks as (start, end)."""
-    cue, found, last = re.compile(CUE), [], None
-    for i, (a, b) in enumerate(units(text)):
-        if not cue.search(text, a, b):
+    """Candidate blocks as (start, end), from their first to their last unit with a cue."""
+    parts, found, last = units(text), [], None
+    starts, ends = [a for a, _ in parts], [b for _, b in parts]
+    for m in re.finditer(CUE, text):
+        i, stop = bisect_right(ends, m.start()), bisect_left(starts, m.end())
+        if i >= stop:
             continue
         if last is not None and i - last <= GAP + 1:
-            found[-1] = (found[-1][0], b)
+            found[-1] = (found[-1][0], ends[stop - 1])
         else:
-            found.append((a, b))
-        last = i
+            found.append((starts[i], ends[stop - 1]))
+        last = stop - 1
     return found
 
 
+def most_added(template: list[str]) -> int:
+    """Words that a notice may have between those of its template."""
+    return int((1 - COVER) * len(template) + 1 + 1e-9)
+
+
+def densest(template: list[str], own: list[str | None]) -> list[int]:
+    """Ends of the windows of own that have enough of the template's words in any order, those with the most first.
+
+    A window is as long as a notice may be, so that every notice is in the window that ends with its last word."""
+    want, size = Counter(template), len(template) + most_added(template)
+    at = [k for k, w in enumerate(own) if w in want]
+    need, have, common, low, found = COVER * len(template) - 1e-9, Counter(), 0, 0, []
+    for k in at:
+        have[own[k]] += 1
+        common += have[own[k]] <= want[own[k]]
+        while at[low] <= k - size:
+            w = own[at[low]]
+            common -= have[w] <= want[w]
+            have[w] -= 1
+            low += 1
+        if common >= need:
+            found.append((-common, k + 1))
+    return [k for _, k in sorted(found)]
+
+
+@dataclass
+class Notice:
+    """Words first to stop of a text as a notice of a template."""
+
+    template: int
+    first: int
+    stop: int
+    cover: float
+    missing: list[str]
+    added: list[str]
+    saved: int = 0
+    reduction: float = 0.0
+
+
 @dataclass
 class Judge:
-    """Ranks templates for a block and confirms the winner."""
+    """Finds the places where templates fit, and ranks them."""
 
     templates: dict[str, list[str]]
 
@@ -122,57 +169,123 @@ class Judge:
         self.known = [(name, words(t), self._with(t)) for name, ts in self.templates.items() for t in ts]
         held = {name: {w for t in ts for w in words(t)} for name, ts in self.templates.items()}
         self.telling = {name: own - set().union(*[x for other, x in held.items() if other != name]) for name, own in held.items()}
+        self.reach = max((len(t) + most_added(t) for _, t, _ in self.known), default=0)
         self.alone = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
-        self.memo: dict[bytes, list] = {}
+        self.memo: dict[bytes, tuple] = {}
 
     @staticmethod
     def _with(template: str) -> zstandard.ZstdCompressor:
         raw = zstandard.ZstdCompressionDict(flat(template), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         return zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False)
 
-    def rank(self, block: bytes) -> list[tuple[int, int]]:
-        """(bytes saved, template) of every template that saves any, best first."""
-        plain = len(self.alone.compress(block))
-        saved = [(plain - len(c.compress(block)), -i) for i, (_, _, c) in enumerate(self.known)]
-        return [(s, -i) for s, i in sorted(saved, reverse=True) if s > 0]
-
-    def judge(self, text: str) -> list[tuple]:
-        """(license, saved, reduction, coverage, verdict, missing, added) for every license of a block; one 'unknown' row if none."""
+    def unknown(self, text: str) -> tuple[int, float]:
+        """Most bytes that a template saves of a block, and their share."""
         block = flat(text)
-        if block in self.memo:
-            return self.memo[block]
-        own, plain = words(text), max(1, len(self.alone.compress(block)))
-        free, out, seen = [True] * len(own), [], set()
-        for saved, i in self.rank(block):
-            name, template, _ = self.known[i]
-            if name in seen:
-                continue
-            left = [w if ok else None for w, ok in zip(own, free, strict=True)]
-            runs = [m for m in difflib.SequenceMatcher(None, template, left, autojunk=False).get_matching_blocks() if m.size]
-            cover = sum(m.size for m in runs) / max(1, len(template))
-            if cover < COVER:
-                continue
-            first, stop = runs[0].b, runs[-1].b + runs[-1].size
-            hit = {m.b + k for m in runs for k in range(m.size)}
-            had = {m.a + k for m in runs for k in range(m.size)}
-            added = [own[k] for k in range(first, stop) if k not in hit]
-            if len(added) > (1 - COVER) * len(template) + 1:
-                continue
-            missing = [w for k, w in enumerate(template) if k not in had]
-            if any(ch.isdigit() for w in missing for ch in w) or (len(template) < SHORT and any(w in self.telling[name] for w in missing)):
-                continue  # another version or another name is another license
-            for k in range(first, stop):
-                free[k] = False
-            seen.add(name)
-            out.append((name, saved, saved / plain, cover, "exact" if not missing and not added else "modified", missing, added))
-        if not out:
-            best = self.rank(block)
-            out = [(None, best[0][0] if best else 0, best[0][0] / plain if best else 0.0, 0.0, "unknown", [], [])]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        self.memo[block] = out
+        if block not in self.memo:
+            if len(self.memo) > MEMO:
+                self.memo.clear()
+            plain = len(self.alone.compress(block))
+            saved = max([0, *(plain - len(c.compress(block)) for _, _, c in self.known)])
+            self.memo[block] = (saved, saved / max(1, plain))
+        return self.memo[block]
+
+    def fit(self, i: int, left: list[str | None], low: int, stop: int) -> Notice | None:
+        """The notice of template i in the window low to stop of left."""
+        name, template, _ = self.known[i]
+        window = left[low:stop]
+        runs = [m for m in difflib.SequenceMatcher(None, template, window, autojunk=False).get_matching_blocks() if m.size]
+        # of the runs, the neighbours with the most words beyond those that stand between them: others are words of the text around
+        best, start, score = (0, 0, 0), 0, 0
+        for k, m in enumerate(runs):
+            gap = m.b - runs[k - 1].b - runs[k - 1].size if k else 0
+            if score - gap < 0:
+                start, score, gap = k, 0, 0
+            score += m.size - gap
+            if score >= best[0]:
+                best = (score, start, k + 1)
+        runs = runs[best[1] : best[2]]
+        cover = sum(m.size for m in runs) / max(1, len(template))
+        if not runs or cover < COVER:
+            return None
+        first, stop = runs[0].b, runs[-1].b + runs[-1].size
+        hit = {m.b + k for m in runs for k in range(m.size)}
+        had = {m.a + k for m in runs for k in range(m.size)}
+        between = [k for k in range(first, stop) if k not in hit]
+        if len(between) > most_added(template) or any(window[k] is None for k in between):
+            return None
+        missing = [w for k, w in enumerate(template) if k not in had]
+        if any(ch.isdigit() for w in missing for ch in w) or (len(template) < SHORT and any(w in self.telling[name] for w in missing)):
+            return None  # another version or another name is another license
+        return Notice(i, low + first, low + stop, cover, missing, [window[k] for k in between])
+
+    def fits(self, i: int, own: list[str | None]) -> list[Notice]:
+        """All places of template i, none over another."""
+        left, out = list(own), []
+        template = self.known[i][1]
+        added = most_added(template)
+        for stop in densest(template, left):
+            found = self.fit(i, left, max(0, stop - len(template) - added), stop)
+            while found is not None:  # words of the text around may have stood for words beyond the window
+                more = len(found.missing) + added
+                wider = self.fit(i, left, max(0, found.first - more), found.stop + more)
+                if wider is None or len(wider.missing) + len(wider.added) >= len(found.missing) + len(found.added):
+                    break
+                found = wider
+            if found is not None:
+                left[found.first : found.stop] = [None] * (found.stop - found.first)
+                out.append(found)
         return out
 
+    def notices(self, text: str, spans: list[tuple[int, int]], own: list[str]) -> list[Notice]:
+        """The notices among words own at spans of text: those that save the most bytes first, then what fits the words still free."""
+        free: list[str | None] = list(own)
+        out: list[Notice] = []
+        todo = range(len(self.known))
+        while True:
+            found = [n for i in todo for n in self.fits(i, free)]
+            if not found:
+                return out
+            for n in found:
+                notice = flat(text[spans[n.first][0] : spans[n.stop - 1][1]])
+                plain = len(self.alone.compress(notice))
+                n.saved = plain - len(self.known[n.template][2].compress(notice))
+                n.reduction = n.saved / max(1, plain)
+            for n in sorted(found, key=lambda n: (-n.saved, n.template, n.first)):
+                if None not in free[n.first : n.stop]:
+                    free[n.first : n.stop] = [None] * (n.stop - n.first)
+                    out.append(n)
+            todo = sorted({n.template for n in found})
+
+    def judge(self, text: str) -> list[tuple]:
+        """(block, start, end, license, saved, reduction, coverage, verdict, missing, added) for every notice, and for blocks without one."""
+        cued = blocks(text)
+        if not cued:
+            return []
+        spans = [m.span() for m in _WORD.finditer(text)]
+        starts, ends = [a for a, _ in spans], [b for _, b in spans]
+        near: list[list[int]] = []  # words about blocks, as far as a notice may reach
+        for a, b in cued:
+            low, high = max(0, bisect_right(ends, a) - self.reach), min(len(spans), bisect_left(starts, b) + self.reach)
+            if near and low <= near[-1][1]:
+                near[-1][1] = high
+            else:
+                near.append([low, high])
+        out, told = [], set()
+        for low, high in near:
+            part = spans[low:high]
+            for n in self.notices(text, part, [text[a:b].lower() for a, b in part]):
+                start, end = part[n.first][0], part[n.stop - 1][1]
+                held = [k for k, (a, b) in enumerate(cued) if a < end and b > start]
+                told.update(held)
+                block = held[0] if held else min(range(len(cued)), key=lambda k: max(cued[k][0] - end, start - cued[k][1]))
+                verdict = "exact" if not n.missing and not n.added else "modified"
+                out.append((block, start, end, self.known[n.template][0], n.saved, n.reduction, n.cover, verdict, n.missing, n.added))
+        for k, (a, b) in enumerate(cued):
+            if k not in told:
+                saved, reduction = self.unknown(text[a:b])
+                out.append((k, a, b, None, saved, reduction, 0.0, "unknown", [], []))
+        return sorted(out, key=lambda r: r[:3])
+
 
 def _rows(templates: dict[str, list[str]], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,8 +293,7 @@ def _rows(templates: dict[str, list[str]], schema: pa.Schema):
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, (a, b) in enumerate(blocks(text)):
-                    rows += [{"doc_id": doc, "block": k, "start": a, "end": b} | dict(zip(schema.names[4:], x, strict=True)) for x in judge.judge(text[a:b])]
+                rows += [{"doc_id": doc} | dict(zip(schema.names[1:], x, strict=True)) for x in judge.judge(text)]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return run

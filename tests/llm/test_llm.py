@@ -7,6 +7,7 @@ import html as entities
 import json
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -185,6 +186,20 @@ def test_licenses(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_every_license_template_however_it_is_laid_out(spark):
+    around, cases = "ouing er the and of this work to any person. " * 12, []
+    for name, texts_of in licenses.TEMPLATES.items():
+        for text in texts_of:
+            wrap = lambda n, mark: textwrap.fill(text, n, initial_indent=mark, subsequent_indent=mark, break_long_words=False, break_on_hyphens=False)  # noqa: B023, E731
+            cases += [(name, text, laid) for laid in (text, wrap(72, ""), wrap(40, ""), around + text + " " + around, "Some words.\n\n" + wrap(72, "# ") + "\n\n" + around)]
+    got = {}
+    for r in licenses.scan(frame(spark, [laid for _, _, laid in cases], list(range(len(cases))))).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for i, (name, text, laid) in enumerate(cases):
+        assert [(r.license, r.verdict) for r in got[i]] == [(name, "exact")], laid
+        assert licenses.words(laid[got[i][0].start : got[i][0].end]) == licenses.words(text)
+
+
 # --- 5 ----------------------------------------------------------------------------------------------------------------
 
 
