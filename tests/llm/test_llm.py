@@ -200,6 +200,14 @@ def test_every_license_template_however_it_is_laid_out(spark):
         assert licenses.words(laid[got[i][0].start : got[i][0].end]) == licenses.words(text)
 
 
+def test_repeated_licenses_of_one_block(spark):
+    line = "Released under the MIT License."
+    text = "\n".join([line, "er an", line, "All rights reserved. " + line])
+    got = licenses.scan(frame(spark, [text])).orderBy("start").collect()
+    assert [(r.block, r.license, r.verdict) for r in got] == [(0, n, "exact") for n in ("MIT", "MIT", "all-rights-reserved", "MIT")]
+    assert [text[r.start : r.end] for r in got if r.license == "MIT"] == [line[:-1]] * 3
+
+
 # --- 5 ----------------------------------------------------------------------------------------------------------------
 
 
