@@ -8,7 +8,8 @@ article(h1(#) p(#)+) footer(#)``.
 
 A wrapper decides which parts are main text: ``article``/``main`` parts where it has them, else the body; never
 parts whose tag, class or role says menu, header, footer, sidebar, notice, advert, form, script, style or comment; and in a
-body without article, no text that is template on at least ``TEMPLATE`` pages of the host. A page's main parts give blocks in page order.
+body without article, no text that is template on at least ``TEMPLATE`` pages of the host with different texts outside boilerplate
+(copies of a page count once, as do repeats on a page), if the host's wrapper has slots beside it. A page's main parts give blocks in page order.
 
 Scale: wrappers are merged per partition before the shuffle, then by (host, salt), then by host, so that no task sees all
 pages of a hot host; wrappers are written as a table whose size Spark knows, and joined with the pages by host.
@@ -44,7 +45,7 @@ BOILERPLATE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "adverti
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "body": ({"head"}, {"html"})}
 #: Sibling labels of a page, above which an irregular sequence becomes one repeated group of optional parts.
 LONG = 64
-#: Pages of a host on which a text must be the same to count as template.
+#: Pages of a host, different from each other, on which a text must be the same to count as template.
 TEMPLATE = 5
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<[!?/][^>]*>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""(?i)(?<![\w-])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
@@ -128,21 +129,50 @@ def parse(page: str) -> Node:
 
 # --- wrappers ---------------------------------------------------------------------------------------------------------
 # A wrapper is [label, optional, repeated, children]; a text slot is ["#", optional, repeated, template], where template is
-# [digest, pages] or null; a group of several siblings has the label "()".
+# [digest, pages] or null (pages: digests of up to ``TEMPLATE`` different pages that have it); a group of several siblings has the label "()".
 
 
 def _digest(text: str) -> str:
     return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).hexdigest()
 
 
-def wrapper(node: Node) -> list:
-    """The wrapper of one page's element."""
+def content(node: Node) -> list[str]:
+    """The texts of a page's element outside boilerplate."""
+    blocks: list[str] = []
+    text: list[str] = []
+
+    def flush() -> None:
+        joined = " ".join("".join(text).split())
+        if joined:
+            blocks.append(joined)
+        text.clear()
+
+    def walk(node: Node) -> None:
+        for c in node.children:
+            if isinstance(c, str):
+                text.append(c)
+            elif c.kind == "boilerplate" and c.tag not in BLOCKS:
+                continue  # an inline notice does not end its block
+            else:
+                flush()
+                if c.kind != "boilerplate":
+                    walk(c)
+                    flush()
+
+    walk(node)
+    flush()
+    return blocks
+
+
+def wrapper(node: Node, page: str | None = None) -> list:
+    """The wrapper of one page's element; page is the digest of the page's content."""
     parts, text = [], []
+    page = _digest("\n".join(content(node))) if page is None else page
 
     def flush() -> None:
         joined = " ".join("".join(text).split())
         if joined:
-            parts.append(["#", False, False, [_digest(joined), 1]])
+            parts.append(["#", False, False, [_digest(joined), [page]]])
         text.clear()
 
     for c in node.children:
@@ -151,7 +181,7 @@ def wrapper(node: Node) -> list:
         else:
             flush()
             if c.tag not in ("br", "hr"):
-                parts.append(wrapper(c))
+                parts.append(wrapper(c, page))
     flush()
     return [node.label, False, False, fold(parts)]
 
@@ -160,7 +190,7 @@ def merge(a: list, b: list) -> list:
     """One wrapper that accepts what either of two with the same label accepts."""
     if a[0] == "#":
         same = a[3] is not None and b[3] is not None and a[3][0] == b[3][0]
-        return ["#", a[1] or b[1], a[2] or b[2], [a[3][0], a[3][1] + b[3][1]] if same else None]
+        return ["#", a[1] or b[1], a[2] or b[2], [a[3][0], sorted({*a[3][1], *b[3][1]})[:TEMPLATE]] if same else None]
     return [a[0], a[1] or b[1], a[2] or b[2], align(a[3], b[3])]
 
 
@@ -230,11 +260,18 @@ def expression(part: list) -> str:
     return body + {(False, False): "", (True, False): "?", (False, True): "+", (True, True): "*"}[part[1], part[2]]
 
 
-def template_texts(part: list, least: int = TEMPLATE) -> set[str]:
-    """Digests of the texts that are the same on so many pages."""
+def has_slot(part: list) -> bool:
+    """Whether a wrapper has texts that differ, outside boilerplate."""
     if part[0] == "#":
-        return {part[3][0]} if part[3] is not None and part[3][1] >= least and not part[2] else set()
-    return set().union(*[template_texts(p, least) for p in part[3]]) if part[3] else set()
+        return part[3] is None
+    return not _is_boilerplate(part[0]) and any(map(has_slot, part[3]))
+
+
+def template_texts(part: list) -> set[str]:
+    """Digests of the texts that are the same on at least ``TEMPLATE`` different pages."""
+    if part[0] == "#":
+        return {part[3][0]} if part[3] is not None and len(part[3][1]) >= TEMPLATE and not part[2] else set()
+    return set().union(*[template_texts(p) for p in part[3]]) if part[3] else set()
 
 
 def main_labels(part: list, inside: bool = False) -> set[str]:
@@ -261,7 +298,7 @@ def extract(page: str | None, host_wrapper: list | None) -> str:
         return ""
     root = parse(page)
     known = host_wrapper if host_wrapper is not None else wrapper(root)
-    labels, blocks = main_labels(known), []
+    labels = main_labels(known)
     roots: list[Node] = []
 
     def seek(node: Node) -> None:
@@ -273,31 +310,10 @@ def extract(page: str | None, host_wrapper: list | None) -> str:
                     seek(c)
 
     seek(root)
-    fixed = set() if roots else template_texts(known)
-    text: list[str] = []
-
-    def flush() -> None:
-        joined = " ".join("".join(text).split())
-        if joined and (not fixed or _digest(joined) not in fixed):
-            blocks.append(joined)
-        text.clear()
-
-    def walk(node: Node) -> None:
-        for c in node.children:
-            if isinstance(c, str):
-                text.append(c)
-            elif c.kind == "boilerplate" and c.tag not in BLOCKS:
-                continue  # an inline notice does not end its block
-            else:
-                flush()
-                if c.kind != "boilerplate":
-                    walk(c)
-                    flush()
-
-    for r in roots or [root]:
-        walk(r)
-        flush()
-    return "\n".join(blocks)
+    if roots:
+        return "\n".join(block for r in roots for block in content(r))
+    fixed = template_texts(known) if has_slot(known) else set()
+    return "\n".join(block for block in content(root) if _digest(block) not in fixed)
 
 
 # --- in Spark ---------------------------------------------------------------------------------------------------------

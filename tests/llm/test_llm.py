@@ -267,6 +267,18 @@ def test_wrapper_alignment_finds_template_text():
     assert html.expression(repeated) == "page(dl((dt(#) dd(#))+))"
 
 
+def test_copies_and_repeats_are_no_template(spark):
+    same = "<body><h1>Title</h1><div>Only text.</div><p>again</p><p>again</p><p>again</p><p>again</p><p>again</p></body>"
+    site = lambda i: f"<body><h2>Our site</h2><div>Story {i}.</div><section>All of it</section></body>"
+    longer = lambda i: "<body><h1>Title</h1>" + "<p>more</p>" * i + "</body>"
+    rows = [("a", same, "Title\nOnly text." + "\nagain" * 5)] * 12 + [("b", same, "Title\nOnly text." + "\nagain" * 5)]
+    rows += [("c", site(i), f"Story {i}.") for i in range(html.TEMPLATE)]
+    rows += [("d", site(i % 4), f"Our site\nStory {i % 4}.\nAll of it") for i in range(40)]
+    rows += [("e", longer(i), "Title" + "\nmore" * i) for i in range(1, 9)]
+    pages = spark.createDataFrame([(i, f"http://{h}.example/{i}", p) for i, (h, p, _) in enumerate(rows)], "page_id long, url string, html string").repartition(3)
+    assert [r.text for r in html.main_text(pages).orderBy("page_id").collect()] == [w for _, _, w in rows]
+
+
 # --- 7 ----------------------------------------------------------------------------------------------------------------
 
 
