@@ -9,8 +9,9 @@ return these columns; decisions take effect:
 4. personal_data: spans of personal data are replaced by their kind (n_chars follows the text);
 5. bpe: texts become ids (doc_id, lang, source, ids, n_tokens).
 
-Clean documents pass all stages unchanged. Rows that repeat an id share their fate in stages 2 and 3 (of rows with the id of a
-class's smallest document, all stay).
+Clean documents pass all stages unchanged. Ids may repeat or be null: stages 2 and 3 judge every text of an id by itself. Of a class
+of near duplicates the text with the smallest id stays (null is the smallest), and one of the rows that have the same id and text;
+rows without words are in no class, and all stay.
 """
 
 from __future__ import annotations
@@ -29,16 +30,33 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.score(docs.select(*COLUMNS), model).where("not is_toxic").select(*COLUMNS)
 
 
+def row_key():
+    """A key for each id and text; only rows that are equal in both share it."""
+    return F.xxhash64(id_key(), F.col("text").isNull(), F.col("text"))
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = neardup.near_duplicates(docs.select("doc_id", "text"))
-    gone = classes.where("not doc_id <=> class_id").select(id_key().alias("_key")).distinct()
-    return docs.select(*COLUMNS).join(gone, id_key() == F.col("_key"), "left_anti")
+    rows = docs.select(*COLUMNS)
+    if rows.groupBy(id_key().alias("_key")).count().where("count > 1").isEmpty():
+        classes = neardup.near_duplicates(docs.select("doc_id", "text"))
+        gone = classes.where("not doc_id <=> class_id").select(id_key().alias("_key"))
+        return rows.join(gone, id_key() == F.col("_key"), "left_anti")
+    rows = rows.withColumn("_key", row_key())
+    classes = neardup.near_duplicates(rows.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), F.col("class_id").alias("_class")).distinct()
+    ids = rows.select("_key", id_key().alias("_id"), F.coalesce(F.col("text").rlike(neardup.WORD), F.lit(False)).alias("_words"))
+    ids = written(ids.groupBy("_key").agg(F.min("_id").alias("_id"), F.max("_words").alias("_words"), F.count(F.lit(1)).alias("_n")).join(classes, "_key"), "near-rows")
+    first = ids.groupBy("_class").agg(F.min(F.struct("_id", "_key")).alias("_first"))
+    gone = ids.join(first, "_class").where("_key <> _first._key").select("_key")
+    left = rows.join(gone, "_key", "left_anti")
+    equal = ids.where("_n > 1 and _words").select("_key")
+    one = left.join(equal, "_key", "left_semi").groupBy("_key").agg(F.min(F.struct("lang", "source", "n_chars", "doc_id", "text")).alias("_row"))
+    return left.join(equal, "_key", "left_anti").select(*COLUMNS).unionByName(one.select(*[f"_row.{c}" for c in COLUMNS]))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hits = contamination.contaminated(docs.select("doc_id", "text"), load(spark, sf_dir, "benchmark", "item_id", "text"))
-    gone = written(hits.select(id_key().alias("_key")).distinct(), "contaminated")
-    return docs.select(*COLUMNS).join(gone, id_key() == F.col("_key"), "left_anti")
+    hits = contamination.contaminated(docs.select(row_key().alias("doc_id"), "text"), load(spark, sf_dir, "benchmark", "item_id", "text"))
+    gone = written(hits.select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
+    return docs.select(*COLUMNS).join(gone, row_key() == F.col("_key"), "left_anti")
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from .shared import Words, id_key, mix, small_batches, steps, strings, written
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 40, 6
+#: A character of a word.
+WORD = r"[^\x20\x09-\x0D]"
 #: Units of one block, and tokens of one slice, when families are compared.
 BLOCK, TOKENS = 1500, 4096
 _NONE = -(2**63)

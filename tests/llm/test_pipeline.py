@@ -41,3 +41,21 @@ def test_stages(spark, tmp_path):
             assert all(got[i].text == texts[i] for i in left[k] - {private})
     assert docs.where("doc_id = 0").first().n_tokens > 40
     assert docs.where("n_tokens = 0").count() == 2
+
+
+def test_rows_that_share_an_id_are_judged_one_by_one(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("an the ing ou er es da lo mi".split()) for _ in range(3))
+    a, b, c, d, e, item = (" ".join(word() for _ in range(60)) for _ in range(6))
+    near = " ".join(["other", *a.split()[1:]])
+    rows = [(None, b), (None, item + " x"), (None, c), (None, c), (3, a), (3, a), (5, near), (5, d), (7, item), (7, e), (8, None), (8, None), (None, ""), (None, "")]
+    rows = [(i, t, "en", "src", len(t or "")) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    shown = lambda df: sorted([(r.doc_id or 0, r.text or "") for r in df.collect()])
+    left = pipeline.near_duplicate_stage(spark, docs, str(tmp_path))
+    assert left.columns == pipeline.COLUMNS
+    assert shown(left) == sorted([(0, b), (0, item + " x"), (0, c), (3, a), (5, d), (7, e), (8, ""), (8, ""), (0, ""), (0, "")])
+    clean = pipeline.decontamination_stage(spark, docs, str(tmp_path))
+    assert shown(clean) == sorted([(r[0] or 0, r[1] or "") for r in rows if not (r[1] or "").startswith(item)])
