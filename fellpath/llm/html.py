@@ -1,28 +1,39 @@
-"""Main text of web pages through wrappers: union-free regular expressions over the structure of a host's pages.
+"""Main text of web pages through wrappers: union-free regular expressions over the token streams of a host's pages.
 
-A page is cut into tags and text; containers and blocks form a tree of labels (tag, classes, role), inline tags vanish
-into their text. Sibling runs that repeat (one to four labels long) fold into repeated groups. Wrappers of two pages of one host
-are aligned label by label (longest common subsequence): what only one has becomes optional, what repeats folds, text that
-differs becomes a slot, equal text stays template. The result is a union-free expression such as ``nav(ul(li(#)+))
-article(h1(#) p(#)+) footer(#)``.
+A page is a stream of tags and texts. Every open element has a *position*: the chain of labels (tag, classes, role) from the root
+down to it. The streams of one host are aligned position by position, page after page, and each mismatch is resolved as in a
+union-free expression:
 
-A wrapper decides which parts are main text: ``article``/``main`` parts where it has them, else the body; never
-parts whose tag, class or role says menu, header, footer, sidebar, notice, advert, form, script, style or comment; and in a
-body without article, no text that is template on at least ``TEMPLATE`` pages of the host with different texts outside boilerplate
-(copies of a page count once, as do repeats on a page), if the host's wrapper has slots beside it. A page's main parts give blocks in page order.
+* a label that a parent has on some pages only becomes optional, one that comes several times under a parent becomes repeated,
+  and repeated labels that stand among each other become one repeated group;
+* a text that is the same on ``SHARE`` of a host's pages stays template, however its siblings fold; any other text is a slot.
 
-Scale: wrappers are merged per partition before the shuffle, then by (host, salt), then by host, so that no task sees all
-pages of a hot host; wrappers are written as a table whose size Spark knows, and joined with the pages by host.
+The wrapper, such as ``body(div(ul(li(#)+)) div(h1(#) p(#)+) p("))``, decides what is main text once ``TEMPLATE`` different
+pages of a host were aligned (copies count once: a page is known by the first heading in its main part, else by its text):
+
+* template texts go, inside an article as well (if the host has slots at all);
+* repeated positions that all pages have and that are mostly links are menus and go;
+* where pages mark no ``article`` or ``main``, the main part is the deepest single container with more than half of the slots'
+  text; of what stands outside only headings before it stay;
+* a weak class word (``related``, ``legal``, ...) inside an article counts only for positions that all pages have.
+
+Names decide only what no alignment can: the elements of the page's frame (nav, footer, form, ...), telling class words
+(ads and reader comments differ from page to page as articles do), and ``article`` and ``main`` themselves.
+
+Alignment keeps nothing but sums, maxima and counts for each position and text, so that it does not matter in which order or
+partition pages come: Spark adds them up (a hot host is summed where it lies). Decisions of a host are made from the
+positions that a tenth of its pages have, which are no more than ten pages' worth, in one small group for each host.
+Parsing takes time in proportion to the page; nothing recurses.
 
 Defined results: null html has the text ''; a page whose url is null or has no host shares the host ''; broken markup is read
-leniently (open elements end with their parent, an unclosed script runs to the end).
+leniently (open elements end with their parent, an unclosed script runs to the end); ``br`` is white space; a ``header`` inside an
+article gives its headings only. Columns of pages keep their names; a column ``text`` is replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html as entities
-import json
 import re
 from collections.abc import Iterator
 
@@ -31,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, written
+from .shared import fresh, small_batches, written
 from .urls import url_host
 
 #: Elements by their role in a page.
@@ -40,343 +51,445 @@ RAW = {"script", "style", "title", "textarea", "iframe", "noscript", "xmp", "noe
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "frameset", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "search", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 BOILERPLATE_TAGS = {"aside", "button", "dialog", "fieldset", "footer", "form", "head", "header", "menu", "nav", "search", "select", "option", "optgroup"}
 BOILERPLATE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "form"}
-BOILERPLATE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "sidebar", "aside", "widget", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "comment", "comments", "disqus", "share", "sharing", "social", "related", "recommended", "skip", "pagination", "pager", "login", "copyright", "legal", "disclaimer", "toolbar"}
+BOILERPLATE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "footer", "sidebar", "aside", "widget", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "comment", "comments", "disqus", "skip", "pagination", "pager", "login", "toolbar"}
+#: Words that say boilerplate outside an article, and inside only together with the wrapper or with links.
+WEAK_WORDS = {"notice", "notices", "share", "sharing", "social", "related", "recommended", "copyright", "legal", "disclaimer"}
+HEADER_WORDS = {"header", "masthead"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: What ends an open element implicitly, up to which parent.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "body": ({"head"}, {"html"})}
-#: Sibling labels of a page, above which an irregular sequence becomes one repeated group of optional parts.
-LONG = 64
-#: Pages of a host, different from each other, on which a text must be the same to count as template.
-TEMPLATE = 5
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<[!?/][^>]*>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
+#: Different pages of a host that must be aligned before its wrapper decides, and the share of its pages that template is on.
+TEMPLATE, SHARE = 5, 0.9
+#: Share of a host's pages that a position must be on to count when the main part is sought.
+COMMON = 0.1
+_OPEN = re.compile(r"""<([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>""")
+_LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"""(?i)(?<![\w-])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 _WORD = re.compile(r"[a-z]+")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
+_MASK = 2**64 - 1
 
 
-class Node:
-    """An element: its label, whether it is boilerplate or main, and its children (nodes and texts)."""
+def _mixed(a: int, b: int) -> int:
+    """Two 64-bit numbers as one (the finaliser of splitmix64)."""
+    x = (a * 0x9E3779B97F4A7C15 + b) & _MASK
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & _MASK
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & _MASK
+    return x ^ (x >> 31)
 
-    __slots__ = ("children", "kind", "label", "tag")
 
-    def __init__(self, tag: str, label: str, kind: str):
-        self.tag, self.label, self.kind, self.children = tag, label, kind, []
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little")
 
 
-def _described(tag: str, attributes: str) -> tuple[str, str]:
-    """Label and kind ('main', 'boilerplate' or '') of a start tag."""
-    found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
-    words = set(_WORD.findall(found.get("class", "") + " " + found.get("id", "")))
-    role = found.get("role", "")
-    kind = ""
-    if tag in BOILERPLATE_TAGS or role in BOILERPLATE_ROLES or (words & BOILERPLATE_WORDS and tag not in ("html", "body")):
-        kind = "boilerplate"
-    elif tag in ("article", "main") or role in ("main", "article"):
-        kind = "main"
-    classes = ".".join(sorted(set(_WORD.findall(found.get("class", "")))))
-    return tag + (f".{classes}" if classes else "") + (f"@{role}" if role else ""), kind
-
-
-def parse(page: str) -> Node:
-    """The tree of a page; texts are decoded, inline elements are part of their text unless they are boilerplate."""
-    root = Node("page", "page", "")
-    stack, at = [root], 0
-    while True:
-        m = _TAG.search(page, at)
-        text = page[at : m.start()] if m else page[at:]
-        if text:
-            stack[-1].children.append(entities.unescape(text))
-        if not m:
-            return root
-        at = m.end()
-        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
-            continue
-        tag = tag.lower()
-        if closing:
-            if tag in BLOCKS or any(n.tag == tag for n in stack[1:]):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-            continue
-        if tag in RAW:
-            if not attributes.endswith("/") or tag not in ("svg", "math"):
-                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-            continue
-        if tag in ("br", "hr"):
-            stack[-1].children.append(Node(tag, tag, ""))
-            continue
-        if tag in VOID:
-            continue
-        label, kind = _described(tag, attributes)
-        if tag not in BLOCKS and kind != "boilerplate":
-            continue
-        if tag in BLOCKS and stack[-1].tag == "p":
-            stack.pop()
-        if tag in IMPLIED:
-            ends, within = IMPLIED[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in within:
-                    break
-                if stack[i].tag in ends:
-                    del stack[i:]
-                    break
-        node = Node(tag, label, kind)
-        stack[-1].children.append(node)
-        if not attributes.endswith("/") or tag in BLOCKS:
-            stack.append(node)
+def _signed(x: int) -> int:
+    return x - 2**64 if x >= 2**63 else x
 
 
-# --- wrappers ---------------------------------------------------------------------------------------------------------
-# A wrapper is [label, optional, repeated, children]; a text slot is ["#", optional, repeated, template], where template is
-# [digest, pages] or null (pages: digests of up to ``TEMPLATE`` different pages that have it); a group of several siblings has the label "()".
+ROOT = _digest("page")
 
 
-def _digest(text: str) -> str:
-    return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).hexdigest()
+class Frame:
+    """An open element: its position, what it is, and sums over its texts."""
 
+    __slots__ = ("block", "blocks", "boiler", "chars", "depth", "header", "heading", "holder", "label", "links", "main", "node", "order", "ranks", "tag", "weak")
 
-def content(node: Node) -> list[str]:
-    """The texts of a page's element outside boilerplate."""
-    blocks: list[str] = []
-    text: list[str] = []
+    def __init__(self, tag: str, label: str, node: int, up: Frame | None, block: bool = True):
+        self.tag, self.label, self.node, self.block = tag, label, node, block
+        self.depth, self.blocks = (up.depth + 1, up.blocks + block) if up else (0, 1)
+        self.holder = self if block else up.holder  # the innermost block element
+        self.boiler, self.main, self.header, self.heading, self.weak = False, False, False, False, None
+        self.chars = self.links = self.order = 0
+        self.ranks: dict[int, list[int]] = {}
 
-    def flush() -> None:
-        joined = " ".join("".join(text).split())
-        if joined:
-            blocks.append(joined)
-        text.clear()
-
-    def walk(node: Node) -> None:
-        for c in node.children:
-            if isinstance(c, str):
-                text.append(c)
-            elif c.kind == "boilerplate" and c.tag not in BLOCKS:
-                continue  # an inline notice does not end its block
-            else:
-                flush()
-                if c.kind != "boilerplate":
-                    walk(c)
-                    flush()
 
-    walk(node)
-    flush()
-    return blocks
+class Block:
+    """A text outside the page's frame, with its innermost element."""
 
+    __slots__ = ("frame", "text")
 
-def wrapper(node: Node, page: str | None = None) -> list:
-    """The wrapper of one page's element; page is the digest of the page's content."""
-    parts, text = [], []
-    page = _digest("\n".join(content(node))) if page is None else page
+    def __init__(self, frame: Frame, text: str):
+        self.frame, self.text = frame, text
 
-    def flush() -> None:
-        joined = " ".join("".join(text).split())
-        if joined:
-            parts.append(["#", False, False, [_digest(joined), [page]]])
-        text.clear()
-
-    for c in node.children:
-        if isinstance(c, str):
-            text.append(c)
-        else:
-            flush()
-            if c.tag not in ("br", "hr"):
-                parts.append(wrapper(c, page))
-    flush()
-    return [node.label, False, False, fold(parts)]
+    @property
+    def key(self) -> int:
+        """The text at its position."""
+        return _mixed(self.frame.node, _digest(self.text))
 
 
-def merge(a: list, b: list) -> list:
-    """One wrapper that accepts what either of two with the same label accepts."""
-    if a[0] == "#":
-        same = a[3] is not None and b[3] is not None and a[3][0] == b[3][0]
-        return ["#", a[1] or b[1], a[2] or b[2], [a[3][0], sorted({*a[3][1], *b[3][1]})[:TEMPLATE]] if same else None]
-    return [a[0], a[1] or b[1], a[2] or b[2], align(a[3], b[3])]
+class Position:
+    """Sums of a position over the pages aligned so far."""
 
+    __slots__ = ("chars", "depth", "first", "instances", "label", "last", "links", "main", "most", "pages", "parent", "parents", "texts")
 
-def _name(part: list) -> str:
-    return part[0] if part[0] != "()" else "(" + " ".join(map(_name, part[3])) + ")"
+    def __init__(self, parent: int, label: str, depth: int, main: bool):
+        self.parent, self.label, self.depth, self.main = parent, label, depth, int(main)
+        self.pages = self.instances = self.parents = self.first = self.last = self.most = self.chars = self.links = self.texts = 0
 
+    def add(self, other: Position) -> None:
+        for name in ("pages", "instances", "parents", "first", "last", "chars", "links", "texts"):
+            setattr(self, name, getattr(self, name) + getattr(other, name))
+        self.most, self.main = max(self.most, other.most), max(self.main, other.main)
 
-def fold(parts: list[list]) -> list[list]:
-    """Sibling runs that repeat become one repeated part."""
-    for period in range(1, 5):
-        out, i = [], 0
-        names = [_name(p) for p in parts]
-        while i < len(parts):
-            times = 1
-            while names[i : i + period] == names[i + times * period : i + (times + 1) * period] and len(names) >= i + (times + 1) * period:
-                times += 1
-            if times == 1:
-                out.append(parts[i])
-                i += 1
-                continue
-            group = [list(p) for p in parts[i : i + period]]
-            for t in range(1, times):
-                group = [merge(x, y) for x, y in zip(group, parts[i + t * period : i + (t + 1) * period], strict=True)]
-            out.append([group[0][0], group[0][1], True, group[0][3]] if period == 1 else ["()", False, True, group])
-            i += times * period
-        parts = out
-    if len(parts) > LONG:
-        kinds: dict[str, list] = {}
-        for p in parts:
-            own = p[3] if p[0] == "()" else [p]
-            for x in own:
-                kinds[_name(x)] = merge(kinds[_name(x)], x) if _name(x) in kinds else x
-        parts = [["()", False, True, [[x[0], True, x[2], x[3]] for x in kinds.values()]]]
-    return parts
-
-
-def align(a: list[list], b: list[list]) -> list[list]:
-    """Two sibling sequences as one: common parts merge, the others become optional."""
-    x, y = [_name(p) for p in a], [_name(p) for p in b]
-    if x == y:
-        return [merge(p, q) for p, q in zip(a, b, strict=True)]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    optional = lambda p: [p[0], True, p[2], p[3]]
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i] == y[j]:
-            out.append(merge(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j == len(y) or (i < len(x) and best[i + 1][j] >= best[i][j + 1]):
-            out.append(optional(a[i]))
-            i += 1
-        else:
-            out.append(optional(b[j]))
-            j += 1
-    return fold(out)
-
-
-def expression(part: list) -> str:
-    """A wrapper as text: ``label(children)`` with ? for optional and + for repeated parts; # is a slot, " a template text."""
-    if part[0] == "#":
-        body = "#" if part[3] is None else '"'
-    else:
-        body = ("" if part[0] == "()" else part[0]) + ("(" + " ".join(map(expression, part[3])) + ")" if part[3] else "")
-    return body + {(False, False): "", (True, False): "?", (False, True): "+", (True, True): "*"}[part[1], part[2]]
-
-
-def has_slot(part: list) -> bool:
-    """Whether a wrapper has texts that differ, outside boilerplate."""
-    if part[0] == "#":
-        return part[3] is None
-    return not _is_boilerplate(part[0]) and any(map(has_slot, part[3]))
-
-
-def template_texts(part: list) -> set[str]:
-    """Digests of the texts that are the same on at least ``TEMPLATE`` different pages."""
-    if part[0] == "#":
-        return {part[3][0]} if part[3] is not None and len(part[3][1]) >= TEMPLATE and not part[2] else set()
-    return set().union(*[template_texts(p) for p in part[3]]) if part[3] else set()
-
-
-def main_labels(part: list, inside: bool = False) -> set[str]:
-    """Labels of the wrapper's outermost main parts that are not in boilerplate."""
-    if part[0] == "#":
-        return set()
-    tag = re.split(r"[.@]", part[0])[0]
-    own = part[0] not in ("()", "#") and (tag in ("article", "main") or part[0].endswith(("@main", "@article")))
-    if _is_boilerplate(part[0]):
-        return set()
-    return {part[0]} if own and not inside else set().union(set(), *[main_labels(p, inside) for p in part[3]])
-
-
-def _is_boilerplate(label: str) -> bool:
-    tag, _, rest = label.partition(".")
-    classes, _, role = rest.partition("@") if rest else ("", "", tag.partition("@")[2])
-    tag = tag.partition("@")[0]
-    return tag in BOILERPLATE_TAGS or role in BOILERPLATE_ROLES or (bool(set(classes.split(".")) & BOILERPLATE_WORDS) and tag not in ("html", "body"))
-
-
-def extract(page: str | None, host_wrapper: list | None) -> str:
-    """The main text of a page by its host's wrapper (by the page's own where there is none)."""
+
+def _described(tag: str, attributes: str) -> tuple[str, set[str], str]:
+    """Label, class and id words, and role of a start tag."""
+    found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
+    own, role = set(_WORD.findall(found.get("class", ""))), found.get("role", "").strip()
+    label = tag + ("." + ".".join(sorted(own)) if own else "") + (f"@{role}" if role else "")
+    return label, own | set(_WORD.findall(found.get("id", ""))), role
+
+
+def read(page: str) -> tuple[list[Block], dict[int, Position]]:
+    """The blocks outside a page's frame, in page order, and its positions; one pass with a stack."""
+    blocks: list[Block] = []
+    positions = {ROOT: Position(0, "page", 0, False)}
+    positions[ROOT].instances = 1
+    root = Frame("page", "page", ROOT, None)
+    stack, where = [root], {}
+    at, last_end, linked = 0, page.rfind(">"), 0  # linked: height of the stack where a link was opened
+    buffer: list[str] = []
+    link_chars = 0
+
+    def flush() -> None:
+        nonlocal link_chars
+        if buffer:
+            text = " ".join("".join(buffer).split())
+            buffer.clear()
+            if text:
+                top = stack[-1].holder
+                top.chars += len(text)
+                top.links += min(link_chars, len(text))
+                if not top.boiler:
+                    blocks.append(Block(top, text))
+                positions[top.node].texts += 1
+        link_chars = 0
+
+    def close(height: int) -> None:
+        nonlocal linked
+        if stack[-1].blocks > stack[height - 1].blocks:
+            flush()
+        while len(stack) > height:
+            frame = stack.pop()
+            where[frame.tag].pop()
+            _fold(frame, positions)
+            stack[-1].chars += frame.chars
+            stack[-1].links += frame.links
+        if linked > len(stack):
+            linked = 0
+
+    def add(text: str) -> None:
+        nonlocal link_chars
+        top = stack[-1]
+        if top.boiler and not top.block:
+            return  # a notice inside a block: the block goes on after it
+        text = entities.unescape(text)
+        buffer.append(text)
+        if linked:
+            link_chars += len(text.strip())
+
+    while True:
+        start = page.find("<", at)
+        while start >= 0 and start < last_end and not (page[start + 1].isascii() and (page[start + 1].isalpha() or page[start + 1] in "!?/")):
+            start = page.find("<", start + 1)
+        if start < 0 or (start > last_end and page[start : start + 4] != "<!--"):
+            if at < len(page):
+                add(page[at:])
+            break
+        if start > at:
+            add(page[at:start])
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        m = _OPEN.match(page, start) or _LOOSE.match(page, start)
+        if not m:  # a declaration, or an end tag without a name
+            at = page.find(">", start) + 1
+            continue
+        at = m.end()
+        closing, tag, attributes = ("", m[1], m[2]) if m.re is _OPEN else (m[1], m[2], m[3])
+        tag = tag.lower()
+        if closing:
+            if tag == "a":
+                linked = 0
+            if where.get(tag):
+                close(where[tag][-1])
+            continue
+        if tag in RAW:
+            if not attributes.endswith("/") or tag not in ("svg", "math"):
+                end = _RAW_END[tag].search(page, at)
+                stop = page.find(">", end.end()) if end else -1
+                at = stop + 1 if stop >= 0 else len(page)
+            continue
+        if tag == "br":
+            buffer.append(" ")
+            continue
+        if tag == "hr":
+            flush()
+            continue
+        if tag in VOID:
+            continue
+        if tag == "a":
+            linked = linked or len(stack)
+            continue
+        label, words, role = _described(tag, attributes)
+        block = tag in BLOCKS
+        named = tag not in ("html", "body")
+        boiler = role in BOILERPLATE_ROLES or (named and bool(words & BOILERPLATE_WORDS))
+        up = stack[-1]
+        if not block and not boiler and (up.main or not words & (WEAK_WORDS | HEADER_WORDS)):
+            continue
+        if block:
+            flush()
+            if up.holder.tag == "p":
+                close(where["p"][-1])
+        if tag in IMPLIED:
+            ends, within = IMPLIED[tag]
+            border = max((where[t][-1] for t in within if where.get(t)), default=0)
+            over = [where[t][-1] for t in ends if where.get(t) and where[t][-1] > border]
+            if over:
+                close(min(over))
+        up = stack[-1]
+        frame = Frame(tag, label, _mixed(up.node, _digest(label)), up, block)
+        frame.main = up.main or ((tag in ("article", "main") or role in ("main", "article")) and not up.boiler and not boiler)
+        head = tag == "header" or (named and bool(words & HEADER_WORDS) and tag not in HEADINGS)
+        weak = named and bool(words & WEAK_WORDS) and tag not in HEADINGS
+        frame.boiler = up.boiler or boiler or (tag in BOILERPLATE_TAGS and tag != "header") or (not up.main and (head or weak))
+        frame.header = up.header or (up.main and head)
+        frame.weak = up.weak or (frame if up.main and weak else None)
+        frame.heading = up.heading or tag in HEADINGS
+        if block:
+            rank = up.ranks.setdefault(frame.node, [0, up.order, 0])
+            rank[0], rank[2] = rank[0] + 1, up.order
+            up.order += 1
+            if frame.node not in positions:
+                positions[frame.node] = Position(up.node, label, frame.depth, frame.main)
+            positions[frame.node].instances += 1
+        if not attributes.endswith("/") or block:
+            where.setdefault(tag, []).append(len(stack))
+            stack.append(frame)
+    close(1)
+    flush()
+    _fold(root, positions)
+    for p in positions.values():
+        p.pages = 1
+    return blocks, positions
+
+
+def _fold(frame: Frame, positions: dict[int, Position]) -> None:
+    """The children of a closed element into their positions."""
+    for node, (count, first, last) in frame.ranks.items():
+        p = positions[node]
+        p.parents += 1
+        p.most = max(p.most, count)
+        p.first += first
+        p.last += last
+    if frame.block:
+        positions[frame.node].chars += frame.chars
+        positions[frame.node].links += frame.links
+
+
+def expression(positions: dict[int, Position], template: set[int]) -> str:
+    """The wrapper as text: ``label(children)`` with ? for optional and + for repeated parts; # is a slot, " a template text."""
+    children: dict[int, list[int]] = {}
+    for node, p in positions.items():
+        children.setdefault(p.parent, []).append(node)
+    out: list[str] = []
+    todo: list = [ROOT]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        own = positions[x]
+        parts: list[list] = [['"' if x in template else "#"]] if own.texts else []
+        groups: list[list[int]] = []
+        end = -1.0
+        for node in sorted(children.get(x, []), key=lambda n: (positions[n].first / positions[n].parents, positions[n].label)):
+            p = positions[node]
+            if groups and p.first / p.parents < end:
+                groups[-1].append(node)
+            else:
+                groups.append([node])
+            end = max(end, p.last / p.parents)
+        for group in groups:
+            held: list = []
+            for node in group:
+                p = positions[node]
+                optional = p.parents < own.instances
+                sign = ("?" if optional else "") if len(group) > 1 else {(False, False): "", (True, False): "?", (False, True): "+", (True, True): "*"}[optional, p.most > 1]
+                held += [" "] * bool(held) + [node, sign]
+            parts.append(["(", *held, ")+"] if len(group) > 1 else held)
+        flat: list = [own.label] + (["("] if parts else [])
+        for k, part in enumerate(parts):
+            flat += [" "] * bool(k) + part
+        flat += [")"] if parts else []
+        todo += reversed(flat)
+    return "".join(out)
+
+
+# --- what a wrapper decides -------------------------------------------------------------------------------------------
+
+
+def decide(pages: int, different: int, slots: bool, positions: dict[int, Position], slot_chars: dict[int, int]) -> tuple[int, list[int]]:
+    """(main part or 0, positions that go) of a host, from the positions that COMMON of its pages have."""
+    if different < TEMPLATE or not slots:
+        return 0, []
+    always = {n for n, p in positions.items() if p.pages >= SHARE * pages}
+    menus = {n for n in always if (p := positions[n]).instances >= 2 * p.parents and p.links * 3 >= 2 * p.chars > 0}
+    weak = {n for n in always if positions[n].main and set(_WORD.findall(positions[n].label.partition(".")[2])) & WEAK_WORDS}
+    if any(p.main for p in positions.values()):
+        return 0, sorted(menus | weak)
+    below = {n: 0 if n in menus else slot_chars.get(n, 0) for n in positions}
+    for n in sorted(positions, key=lambda n: -positions[n].depth):
+        if positions[n].parent in below:
+            below[positions[n].parent] += below[n]
+    whole = sum(v for n, v in below.items() if positions[n].parent not in below)
+    best, at = 0, -1
+    for n in sorted(always):
+        p = positions[n]
+        if p.most == 1 and p.depth > at and 2 * below[n] > whole and 2 * slot_chars.get(n, 0) < below[n]:
+            best, at = n, p.depth
+    return best, sorted(menus | weak)
+
+
+def extract(page: str | None, main: int = 0, gone: frozenset[int] | set[int] = frozenset()) -> str:
+    """The main text of a page; main and gone (positions, and texts at positions) come from its host's wrapper."""
     if not page:
         return ""
-    root = parse(page)
-    known = host_wrapper if host_wrapper is not None else wrapper(root)
-    labels = main_labels(known)
-    roots: list[Node] = []
-
-    def seek(node: Node) -> None:
-        for c in node.children:
-            if isinstance(c, Node) and c.kind != "boilerplate":
-                if c.label in labels:
-                    roots.append(c)
-                else:
-                    seek(c)
+    blocks, positions = read(page)
+    marked = any(b.frame.main for b in blocks)
+    inside: set[int] = set()
+    if main and not marked and main in positions:
+        inside = {main}
+        for n, p in positions.items():  # parents come before their children
+            if p.parent in inside:
+                inside.add(n)
+    out, begun = [], not inside
+    for b in blocks:
+        f = b.frame
+        if marked and not f.main:
+            continue
+        if f.node in gone or (gone and b.key in gone):
+            continue
+        if f.header and not f.heading:
+            continue
+        if f.weak is not None and (f.weak.node in gone or f.weak.links * 2 >= f.weak.chars):
+            continue
+        if inside:
+            if f.node in inside:
+                begun = True
+            elif begun or not f.heading:
+                continue
+        out.append(b.text)
+    return "\n".join(out)
+
 
-    seek(root)
-    if roots:
-        return "\n".join(block for r in roots for block in content(r))
-    fixed = template_texts(known) if has_slot(known) else set()
-    return "\n".join(block for block in content(root) if _digest(block) not in fixed)
+def mark(blocks: list[Block]) -> int:
+    """What tells different pages apart: the first heading in the main part, else all text."""
+    heading = next((b.text for b in blocks if b.frame.main and b.frame.heading), None)
+    return _digest("\n".join(b.text for b in blocks) if heading is None else "h " + heading)
 
 
 # --- in Spark ---------------------------------------------------------------------------------------------------------
 
-#: Hosts whose wrappers a task merges before it sends them on.
-HOSTS = 5_000
-SALTS = 16
-_PAIR = pa.schema([("host", pa.string()), ("wrapper", pa.string())])
+#: Positions that a task adds up before it sends them on.
+HELD = 100_000
+_SUMS = ("pages", "instances", "parents", "first", "last", "chars", "links", "texts")
+#: One row for each text of a page (text, mark; chars), and one for each position of many pages (label and sums).
+_ROW = pa.schema([("host", pa.string()), ("node", pa.int64()), ("text", pa.int64()), ("mark", pa.int64()), ("label", pa.string()), ("parent", pa.int64()), ("depth", pa.int64()), ("main", pa.int64()), ("most", pa.int64()), *[(n, pa.int64()) for n in _SUMS]])
+_ROW_SQL = "host string, node long, text long, mark long, label string, parent long, depth long, main long, most long, " + ", ".join(f"{n} long" for n in _SUMS)
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[tuple[str, int], Position] = {}
 
+    def positions() -> pa.RecordBatch:
+        rows = [{"host": h, "node": _signed(n), "label": p.label, "parent": _signed(p.parent), "depth": p.depth, "main": p.main, "most": p.most} | {s: getattr(p, s) for s in _SUMS} for (h, n), p in held.items()]
+        held.clear()
+        return pa.RecordBatch.from_pylist(rows, schema=_ROW)
 
-def _page_wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, list] = {}
-    flush = lambda: pa.RecordBatch.from_pylist([{"host": h, "wrapper": json.dumps(w)} for h, w in held.items()], schema=_PAIR)
     for batch in batches:
+        texts = []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if page:
-                own = wrapper(parse(page))
-                held[host] = merge(held[host], own) if host in held else own
-        if len(held) > HOSTS:
-            yield flush()
-            held.clear()
+            if not page:
+                continue
+            blocks, own = read(page)
+            name = _signed(mark(blocks))
+            texts.append({"host": host, "node": 0, "text": 0, "mark": name})
+            seen: dict[int, list] = {}
+            for b in blocks:
+                seen.setdefault(_signed(b.key), [_signed(b.frame.node), 0])[1] += len(b.text)
+            texts += [{"host": host, "node": node, "text": key, "mark": name, "chars": n} for key, (node, n) in seen.items()]
+            for node, p in own.items():
+                if (host, node) in held:
+                    held[host, node].add(p)
+                else:
+                    held[host, node] = p
+        yield pa.RecordBatch.from_pylist(texts, schema=_ROW)
+        if len(held) > HELD:
+            yield positions()
     if held:
-        yield flush()
+        yield positions()
 
 
-def _merge_group(frame: pd.DataFrame) -> pd.DataFrame:
-    all_of = [json.loads(w) for w in sorted(frame["wrapper"])]
-    out = all_of[0]
-    for w in all_of[1:]:
-        out = merge(out, w)
-    return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [json.dumps(out)]})
+def _decided(frame: pd.DataFrame) -> pd.DataFrame:
+    first = frame.iloc[0]
+    positions, slot_chars, template = {}, {}, set()
+    for r in frame[frame["node"] != 0].itertuples():
+        p = Position(r.parent & _MASK, r.label, int(r.depth), bool(r.main))
+        p.most = int(r.most)
+        for s in _SUMS:
+            setattr(p, s, int(getattr(r, s)))
+        positions[r.node & _MASK] = p
+        slot_chars[r.node & _MASK] = max(0, int(r.slot_chars))
+        if not r.slot_chars and first["different"] >= TEMPLATE:
+            template.add(r.node & _MASK)
+    main, gone = decide(int(first["host_pages"]), int(first["different"]), bool(first["slots"]), positions, slot_chars)
+    return pd.DataFrame({"host": [first["host"]], "main": [_signed(main)], "gone": [[_signed(n) for n in gone]], "wrapper": [expression(positions, template)]})
 
 
-def host_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper as JSON) for every host of pages (url, html)."""
-    small_batches(pages.sparkSession)
-    rows = pages.select(F.coalesce(url_host(F.col("url").cast("string")), F.lit("")).alias("host"), F.col("html").cast("string").alias("html"))
-    each = rows.mapInArrow(_page_wrappers, "host string, wrapper string")
-    some = each.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))).groupBy("host", "salt").applyInPandas(_merge_group, "host string, wrapper string")
-    return written(some.groupBy("host").applyInPandas(_merge_group, "host string, wrapper string"), "wrappers")
+def _hosts(pages: DataFrame):
+    return F.coalesce(url_host(F.col("url").cast("string")), F.lit(""))
 
 
-def _extract_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, list | None] = {}
-    for batch in batches:
-        at = batch.schema.get_field_index("_wrapper")
-        rest = [i for i in range(batch.num_columns) if i != at]
-        texts = []
-        for page, own in zip(batch.column(batch.schema.get_field_index("html")).to_pylist(), batch.column(at).to_pylist(), strict=True):
-            if own not in known:
-                if len(known) > 1000:
-                    known.clear()
-                known[own] = json.loads(own) if own else None
-            texts.append(extract(page, known[own]))
-        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in rest], pa.array(texts, type=pa.string())], names=[*[batch.schema.names[i] for i in rest], "text"])
+def host_wrappers(pages: DataFrame) -> DataFrame:
+    """(host, main, gone, wrapper) for every host of pages (url, html): what its wrapper decides, and the wrapper as an expression."""
+    small_batches(pages.sparkSession)
+    rows = written(pages.select(_hosts(pages).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(_aligned, _ROW_SQL), "aligned")
+    hosts = rows.where("node = 0").groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"), F.count_distinct("mark").alias("different"))
+    texts = rows.where("text <> 0").groupBy("host", "node", "text").agg(F.count(F.lit(1)).alias("pages"), F.count_distinct("mark").alias("marks"), F.sum("chars").alias("chars"))
+    fixed = (F.col("pages") >= SHARE * F.col("host_pages")) & (F.col("marks") >= TEMPLATE)
+    judged = texts.join(hosts, "host").withColumn("fixed", fixed)
+    at = written(judged.groupBy("host", "node").agg(F.sum(F.when(~F.col("fixed"), F.col("chars")).otherwise(0)).alias("slot_chars"), F.collect_list(F.when(F.col("fixed"), F.col("text"))).alias("template")), "wrapper-texts")
+    slots = at.groupBy("host").agg(F.max(F.col("slot_chars") > 0).alias("slots"), F.flatten(F.collect_list(F.when(F.size("template") > 0, F.col("template")))).alias("template"))
+    nodes = rows.where("label is not null").groupBy("host", "node").agg(F.min("label").alias("label"), F.min("parent").alias("parent"), F.min("depth").alias("depth"), F.max("main").alias("main"), F.max("most").alias("most"), *[F.sum(n).alias(n) for n in _SUMS])
+    known = hosts.join(slots, "host", "left").select("host", "host_pages", "different", F.coalesce("slots", F.lit(False)).alias("slots"), F.coalesce("template", F.array().cast("array<bigint>")).alias("template"))
+    common = nodes.join(known.drop("template"), "host").where(F.col("pages") >= COMMON * F.col("host_pages")).join(at.select("host", "node", "slot_chars"), ["host", "node"], "left").withColumn("slot_chars", F.coalesce("slot_chars", F.lit(-1)))
+    decided = common.groupBy("host").applyInPandas(_decided, "host string, main long, gone array<long>, wrapper string")
+    out = known.join(decided, "host", "left").select("host", F.coalesce("main", F.lit(0)).alias("main"), F.concat(F.when(F.col("slots"), F.col("template")).otherwise(F.array().cast("array<bigint>")), F.coalesce("gone", F.array().cast("array<bigint>"))).alias("gone"), F.coalesce("wrapper", F.lit("page")).alias("wrapper"))
+    return written(out, "wrappers")
+
+
+def _extract_rows(html: str, main: str, gone: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            rest = [i for i, n in enumerate(names) if n not in (main, gone)]
+            column = lambda n: batch.column(names.index(n)).to_pylist()  # noqa: B023, E731
+            texts = [extract(page, (part or 0) & _MASK, {x & _MASK for x in without or ()}) for page, part, without in zip(column(html), column(main), column(gone), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in rest], pa.array(texts, type=pa.string())], names=[*[names[i] for i in rest], "text"])
+
+    return run
 
 
 def main_text(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFrame:
     """pages (any columns, url and html among them) with text; a column of that name is replaced."""
     small_batches(pages.sparkSession)
     wrappers = host_wrappers(pages) if wrappers is None else wrappers
-    pages = pages.drop("text", "_wrapper", "_host").withColumn("html", F.col("html").cast("string"))
-    rows = pages.withColumn("_host", F.coalesce(url_host(F.col("url").cast("string")), F.lit("")))
-    rows = rows.join(wrappers.select(F.col("host").alias("_host"), F.col("wrapper").alias("_wrapper")), "_host", "left").drop("_host")
+    pages = pages.drop("text").withColumn("html", F.col("html").cast("string"))
+    host, main, gone = fresh(pages, "host"), fresh(pages, "main"), fresh(pages, "gone")
+    known = wrappers.select(F.col("host").alias(host), F.col("main").alias(main), F.col("gone").alias(gone))
+    rows = pages.withColumn(host, _hosts(pages)).join(known, host, "left").drop(host)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields), "text string"])
-    return rows.select(*[F.col(f"`{c}`") for c in pages.columns], "_wrapper").mapInArrow(_extract_rows, schema)
+    return rows.select(*[F.col(f"`{c}`") for c in pages.columns], main, gone).mapInArrow(_extract_rows("html", main, gone), schema)

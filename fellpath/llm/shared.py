@@ -68,6 +68,15 @@ def id_key(name: str = "doc_id"):
     return F.coalesce(F.col(name).cast("long"), F.lit(-(2**63)).cast("long"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 # --- vectorised words -------------------------------------------------------------------------------------------------
 
 _rng = np.random.default_rng(20_240_607)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import html as entities
-import json
 import random
 import re
 import textwrap
@@ -241,39 +240,101 @@ def page(i: int, body: str, foot: bool = True, article: str = "article") -> str:
 def test_html(spark):
     rows, want = [], []
     for i in range(40):
-        body = "".join(f"<p>Para {k} of  <b>{i}</b>\n text &lt;{k}&gt;</p>" for k in range(i % 5)) + ("<ul><li>one<li>two</ul>" if i % 3 == 0 else "") + ("<form>Mail <input></form>" if i % 4 == 0 else "")
+        body = "".join(f"<p>Para {k} of  <b>{i}</b>\n text<br>&lt;{k}&gt;</p>" for k in range(i % 5)) + ("<ul><li>one<li>two</ul>" if i % 3 == 0 else "") + ("<form>Mail <input></form>" if i % 4 == 0 else "")
         rows.append((i, f"http://h{i % 2}.example/{i}", page(i, body, i % 2 == 0)))
         want.append("\n".join([f"Title {i} & more", *[f"Para {k} of {i} text <{k}>" for k in range(i % 5)], *(["one", "two"] if i % 3 == 0 else [])]))
     odd = [(None, ""), ("", ""), ("plain text", "plain text"), ("<p>a<p>b", "a\nb"), ("<div>x<script>1", "x"), ("<" * 50, "<" * 50), ("<p>" * 2000 + "deep", "deep")]
+    odd += [("<div>" * 100_000 + "deep", "deep"), ("<a" * 300_000, "<a" * 300_000), ("<div><li></li>" * 20_000 + "x", "x"), ('<a "\'>' * 50_000, ""), ("</script " * 100_000 + ">y", "y"), ("<b class=ad>" * 20_000 + "x", "")]
     for text, out in odd:
         rows.append((len(rows), None, text))
         want.append(out)
-    pages = spark.createDataFrame([(*r, "old") for r in rows], "page_id long, url string, html string, text string")
-    assert [r.text for r in html.main_text(pages).orderBy("page_id").collect()] == want
-    wrappers = {r.host: json.loads(r.wrapper) for r in html.host_wrappers(pages).collect()}
-    assert "article(h1(#)" in html.expression(wrappers["h0.example"]) and "p(#)*" in html.expression(wrappers["h0.example"])
+    pages = spark.createDataFrame([(*r, "old", "h", 1) for r in rows], "page_id long, url string, html string, text string, _host string, _main int")
+    got = html.main_text(pages).orderBy("page_id").collect()
+    assert [r.text for r in got] == want and got[0]["_host"] == "h" and got[0]["_main"] == 1
+    wrappers = {r.host: r.wrapper for r in html.host_wrappers(pages).collect()}
+    assert "article(h1(#) p(#)* ul(li(#)+)? form(#)?)" in wrappers["h0.example"], wrappers["h0.example"]
     assert html.main_text(pages.where("false")).count() == 0
 
 
-def test_wrapper_alignment_finds_template_text():
-    bare = lambda i: f"<body><div>Accept our terms</div><div>Story {i} <i>goes</i> on.</div></body>"
-    merged = None
-    for i in range(8):
-        w = html.wrapper(html.parse(bare(i)))
-        merged = w if merged is None else html.merge(merged, w)
-    assert html.extract(bare(3), None) == "Accept our terms\nStory 3 goes on."
+def site(i: int, rng: random.Random) -> tuple[str, str]:
+    """A page without any telling name, and its main text: menu, notice and terms are told from the article by alignment only."""
+    word = lambda: "".join(rng.choice(SYLLABLES) for _ in range(3))
+    paras = [" ".join(word() for _ in range(12)) for _ in range(rng.randint(1, 6))]
+    menu = "".join(f"<li><a href='/{word()}'>{word()}</a></li>" for _ in range(rng.randint(3, 6)))
+    texts = "".join(f"<p>{p}</p>" for p in paras)
+    return f"<html><body><table><tr><td><ul>{menu}</ul></td></tr></table><h1>Title {i}</h1><section><div>Accept our terms</div>{texts}<p>All of it is ours</p></section><center>Mail {word()}</center></body></html>", "\n".join([f"Title {i}", *paras])
+
+
+def test_wrapper_alone_tells_boilerplate(spark):
+    rng = random.Random(4)
+    made = [site(i, rng) for i in range(60)]
+    pages = spark.createDataFrame([(i, f"http://h{i % 3}.example/{i}", p) for i, (p, _) in enumerate(made)], "page_id long, url string, html string")
+    want = [w for _, w in made]
+    wrappers = {}
+    for parts in (1, 50):
+        dealt = pages.repartition(parts)
+        wrappers[parts] = html.host_wrappers(dealt)
+        assert [r.text for r in html.main_text(dealt, wrappers[parts]).orderBy("page_id").collect()] == want
+    shown = [sorted((r.host, r.main, sorted(r.gone), r.wrapper) for r in w.collect()) for w in wrappers.values()]
+    assert shown[0] == shown[1] and 'section(div(") p(#)+)' in shown[0][0][3] and "ul(li(#)+)" in shown[0][0][3]
+    dummy = wrappers[1].withColumns({"main": F.lit(0).cast("long"), "gone": F.array().cast("array<bigint>")})
+    plain = [r.text for r in html.main_text(pages, dummy).orderBy("page_id").collect()]
+    assert all("Accept our terms" in t and "All of it is ours" in t and "Mail" in t and t != w for t, w in zip(plain, want, strict=True))
+
+
+def test_wrapper_inside_articles(spark):
+    body = lambda i: f"<html><body><main><header><p>By me {i}</p><h1>Story {i}</h1></header><div class=follow>Follow us</div><p class=legal>The law says {i}.</p><p>Text {i}</p><footer>x</footer><div class=related><a href=x>More {i}</a></div></main></body></html>"
+    pages = spark.createDataFrame([(i, f"http://{'many' if i < 20 else i}.example/", body(i)) for i in range(22)], "page_id long, url string, html string")
+    got = [r.text for r in html.main_text(pages).orderBy("page_id").collect()]
+    assert got[:20] == [f"Story {i}\nText {i}" for i in range(20)]  # Follow us: one text; legal: on all pages
+    assert got[20] == "Story 20\nFollow us\nThe law says 20.\nText 20"
+
+
+def test_template_texts_equal_brute_force(spark):
+    from xml.etree import ElementTree
+
+    rng = random.Random(14)
+    made = []
+    for i in range(90):
+        parts = [f"<{t}>{rng.choice(['Always here', 'Often there', 'w' + str(rng.randrange(1000))])}</{t}>" for t in ("div", "p", "p", "blockquote", "div") if rng.random() < 0.95]
+        parts.insert(rng.randrange(len(parts) + 1), "<h2>Fixed</h2>")
+        made.append((f"h{i % 4}", "<body>" + "".join(parts) + "</body>"))
+    made += [made[0]] * 30
+    blocks = [[((e.tag,), e.text) for e in ElementTree.fromstring(p)] for _, p in made]
+    want = []
+    for i, (host, _) in enumerate(made):
+        own = [blocks[j] for j, (h, _) in enumerate(made) if h == host]
+        kept = []
+        for b in blocks[i]:
+            held = [x for x in own if b in x]
+            fixed = len(held) >= html.SHARE * len(own) and len({tuple(x) for x in held}) >= html.TEMPLATE
+            kept += [] if fixed else [b[1]]
+        want.append("\n".join(kept))
+    pages = spark.createDataFrame([(i, f"http://{h}/{i}", p) for i, (h, p) in enumerate(made)], "page_id long, url string, html string")
+    assert [r.text for r in html.main_text(pages).orderBy("page_id").collect()] == want
+
+
+def test_expressions_of_wrappers():
+    def wrapper(*pages: str) -> str:
+        held: dict = {}
+        for page in pages:
+            for node, p in html.read(page)[1].items():
+                held[node].add(p) if node in held else held.update({node: p})
+        return html.expression(held, set())
+
+    assert wrapper("<dl><dt>a<dd>b<dt>c<dd>d</dl>") == "page(dl((dt(#) dd(#))+))"
+    assert wrapper("<h1>a</h1><p>b", "<h1>a</h1><p>b<p>c", "<p>d") == "page(h1(#)? p(#)+)"
+    assert wrapper("<div><h1>a</h1><p>b</div>", "<div><p>b<p>c</div>") == "page(div(h1(#)? p(#)+))"
     assert entities.unescape("&amp") == "&"
-    repeated = html.wrapper(html.parse("<dl><dt>a<dd>b<dt>c<dd>d</dl>"))
-    assert html.expression(repeated) == "page(dl((dt(#) dd(#))+))"
 
 
 def test_copies_and_repeats_are_no_template(spark):
     same = "<body><h1>Title</h1><div>Only text.</div><p>again</p><p>again</p><p>again</p><p>again</p><p>again</p></body>"
-    site = lambda i: f"<body><h2>Our site</h2><div>Story {i}.</div><section>All of it</section></body>"
+    plain = lambda i: f"<body><h2>Our site</h2><div>Story {i}.</div><section>All of it</section></body>"
     longer = lambda i: "<body><h1>Title</h1>" + "<p>more</p>" * i + "</body>"
     rows = [("a", same, "Title\nOnly text." + "\nagain" * 5)] * 12 + [("b", same, "Title\nOnly text." + "\nagain" * 5)]
-    rows += [("c", site(i), f"Story {i}.") for i in range(html.TEMPLATE)]
-    rows += [("d", site(i % 4), f"Our site\nStory {i % 4}.\nAll of it") for i in range(40)]
+    rows += [("c", plain(i), f"Story {i}.") for i in range(html.TEMPLATE)]
+    rows += [("d", plain(i % 4), f"Our site\nStory {i % 4}.\nAll of it") for i in range(40)]
     rows += [("e", longer(i), "Title" + "\nmore" * i) for i in range(1, 9)]
     pages = spark.createDataFrame([(i, f"http://{h}.example/{i}", p) for i, (h, p, _) in enumerate(rows)], "page_id long, url string, html string").repartition(3)
     assert [r.text for r in html.main_text(pages).orderBy("page_id").collect()] == [w for _, _, w in rows]
