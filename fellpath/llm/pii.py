@@ -1,19 +1,21 @@
 """Personal data by weak supervision, in DataFrame operations only.
 
 Base spans (kept in any case) are leftmost non-overlapping matches of one pattern for each kind that pass the kind's test.
-The method adds spans: a looser pattern for each kind gives candidates outside the kind's base spans, and labelers vote on
-each candidate with 1 (personal), -1 (not) or 0 (no say): a strict pattern, a checksum or format test, a gazetteer
+The method adds spans: a looser pattern for each kind gives candidates in the text beside the kind's base spans. Labelers vote
+on every match, base or loose, with 1 (personal), -1 (not) or 0 (no say): a strict pattern, a checksum or format test, a gazetteer
 (top-level domains, country codes, card issuers, address ranges), words before or after that speak for the kind, words
 before that speak against it, and clean borders. Expectation-maximisation over the table of vote patterns (at most a
 few thousand rows, however large the corpus) estimates for each kind how often it is true and how reliable each labeler is,
 without labels. A logistic span classifier over votes and shape is then trained on the posteriors, and compiled into one
-expression that accepts candidates.
+expression that accepts candidates. Base matches teach every kind its labelers, also where loose candidates are few.
 
-Positions come from the pieces between matches, added up; every step is an expression over one row, so nothing but the vote
-table is shuffled.
+Time is in proportion to the text: patterns start at the beginning of a run only, positions and context come from the pieces
+between matches by running sums in blocks of ``BLOCK``, and no fold gathers a list of matches. Every step is an
+expression over one row; nothing but the vote table is shuffled.
 
 Defined results: null text counts as empty; spans of different kinds may overlap; positions count code points, ends
-are exclusive.
+are exclusive; context is what stands between a match and the matches next to it. Columns of docs keep their names, but those
+that are added (base_<kind>, span_<kind>) are replaced.
 """
 
 from __future__ import annotations
@@ -24,25 +26,28 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh
+
 KINDS = ("email", "ip", "card", "phone")
-#: Patterns of the base spans; possessive where that changes nothing but the depth of the search.
+#: Patterns of the base spans. A match can only begin where a run of its first characters does, or where the last match ended (\G): the
+#: same matches, but no run is tried from each of its characters. Possessive where that changes nothing but the depth of the search.
 BASE = {
-    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: Looser patterns of the candidates.
 LOOSE = {
-    "email": r"[A-Za-z0-9._%+-]++\x20?[(\[](?:at|AT)[)\]]\x20?[A-Za-z0-9-]++(?:\x20?(?:[(\[](?:dot|DOT)[)\]]|\.)\x20?[A-Za-z0-9-]++)++",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[(\[](?:at|AT)[)\]]\x20?[A-Za-z0-9-]++(?:\x20?(?:[(\[](?:dot|DOT)[)\]]|\.)\x20?[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])|(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])",
-    "card": r"(?<![\p{L}0-9])(?:[0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}|3[47][0-9]{2}[\x20-][0-9]{6}[\x20-][0-9]{5}|[0-9]{16})(?![\p{L}0-9])",
+    "card": r"(?<![\p{L}0-9])(?:[0-9]{4}[\x20.-][0-9]{4}[\x20.-][0-9]{4}[\x20.-][0-9]{4}|3[47][0-9]{2}[\x20.-]?[0-9]{6}[\x20.-]?[0-9]{5}|[0-9]{16})(?![\p{L}0-9])",
     "phone": r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])|(?<![0-9+(.-])\(?[0-9]{3}\)[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])|(?<![0-9+(.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9.-])",
 }
 STRICT = {
-    "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]*\x20?[(\[](?:at|AT)[)\]]\x20?[A-Za-z0-9-]+(?:\x20?(?:[(\[](?:dot|DOT)[)\]]|\.)\x20?[A-Za-z0-9-]+)*$",
+    "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]*+(?:@|\x20?[(\[](?:at|AT)[)\]]\x20?)[A-Za-z0-9-]++(?:\x20?(?:[(\[](?:dot|DOT)[)\]]|\.)\x20?[A-Za-z0-9-]++)++$",
     "ip": r"^(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$|:",
-    "card": r"^[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}$",
+    "card": r"^[0-9]{4}(?:[\x20.-]?[0-9]{4}){3}$|^3[47][0-9]{2}[\x20.-]?[0-9]{6}[\x20.-]?[0-9]{5}$",
     "phone": r"^\+[0-9]{1,3}\x20?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}$|^\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}$",
 }
 #: Gazetteers of well-known beginnings and endings.
@@ -62,6 +67,8 @@ SPEAKS = {
 AGAINST = r"(?i)(?:\b(?:version|v|section|chapter|isbn|issn|doi|order|invoice|build|release|token|id|no|nr|figure|fig|table)\b[.:#=\x20\"]*|[=#/\"])$"
 LABELERS = ("strict", "check", "gazetteer", "context", "against", "border")
 ROUNDS = 30
+_SPAN = "struct<start:int,end:int,found:string>"
+_VOTED = "struct<start:int,end:int,found:string,base:boolean," + "".join(f"{n}:int," for n in LABELERS) + "shape:string>"
 
 
 def _of(kind: str, f):
@@ -71,20 +78,61 @@ def _of(kind: str, f):
 
 # --- positions and tests ----------------------------------------------------------------------------------------------
 
+#: Items of one block of a running sum.
+BLOCK = 64
+
+
+def once(value: Column, f) -> Column:
+    """f(value), with value computed once."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def _blocks(xs: Column) -> Column:
+    return F.filter(F.sequence(F.lit(0), F.floor(F.size(xs) / F.lit(BLOCK)).cast("int")), lambda b: b * BLOCK < F.size(xs))
+
+
+def _own(b: Column, xs: Column) -> Column:
+    """The items of block b of an array (a slice would copy the whole array first)."""
+    return F.transform(F.sequence(b * BLOCK, F.least((b + 1) * BLOCK, F.size(xs)) - 1), lambda i: F.get(xs, i))
+
+
+def running(values: Column, op) -> Column:
+    """For each of some whole numbers, op (a sum or a maximum, from 0 on) over all before it.
+
+    A fold copies its state in every step, so that a fold that gathers an array takes n * n steps. Here folds hold numbers only: blocks
+    are summed, the few sums are gathered, and inside a block the short rest is summed for each item.
+    """
+
+    def over(xs: Column, first: Column) -> Column:
+        return F.aggregate(xs, first, lambda a, x: op(a, x))
+
+    def gathered(sums: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(sums, start, lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+
+    def run(xs: Column) -> Column:
+        sums = F.transform(_blocks(xs), lambda b: over(_own(b, xs), F.lit(0)))
+        inside = lambda own, first: F.transform(own, lambda _, k: over(F.slice(own, F.lit(1), k), first))
+        return once(gathered(sums), lambda offsets: F.flatten(F.transform(_blocks(xs), lambda b: once(_own(b, xs), lambda own: inside(own, F.get(offsets, b))))))
 
-def find(text: Column, pattern: str) -> Column:
-    """Matches of a pattern as array<struct<start, end, found>>; matches are never empty."""
+    return once(values, run)
+
+
+def pieces(text: Column, pattern: str) -> Column:
+    """array<struct<found, between>>: the text before each match of a pattern, and the match; found is null in the last one."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:int,end:int,found:string>>")
-    first = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    return F.arrays_zip(found.alias("found"), between.alias("between"))
+
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["between"])
-        end = start + F.length(x["found"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["found"].alias("found"))
-        return F.struct(F.coalesce(end, acc["at"]).alias("at"), F.when(x["found"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], span)).alias("out"))
+def find(parts: Column) -> Column:
+    """The matches of pieces as array<struct<start, end, found>>; matches are never empty."""
+    sizes = F.transform(parts, lambda x: F.length(x["between"]) + F.coalesce(F.length(x["found"]), F.lit(0)))
 
-    return F.aggregate(F.arrays_zip(found.alias("found"), between.alias("between")), first, step, lambda acc: acc["out"])
+    def span(at: Column, i: Column) -> Column:
+        start = at + F.length(F.get(parts, i)["between"])
+        return F.struct(start.alias("start"), (start + F.length(F.get(parts, i)["found"])).alias("end"), F.get(parts, i)["found"].alias("found"))
+
+    return F.filter(F.transform(running(sizes, lambda a, x: a + x), span), lambda s: s["found"].isNotNull())
 
 
 def _digits(found: Column) -> Column:
@@ -117,20 +165,62 @@ def _guard(kind: str, loose: bool, text: Column) -> Column:
     return F.col("_digit")
 
 
-def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _t (the text, never null) and, for each kind, base_<kind>: array<struct<start, end, found>>."""
-    out = docs.withColumn("_t", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn("_digit", F.col("_t").rlike("[0-9]"))
-    empty = F.array().cast("array<struct<start:int,end:int,found:string>>")
-    return out.withColumns({f"base_{k}": F.when(_guard(k, False, F.col("_t")), F.filter(find(F.col("_t"), BASE[k]), _of(k, lambda k, s: valid(k, s["found"])))).otherwise(empty) for k in KINDS})
+@dataclass(frozen=True)
+class Names:
+    """Columns of the steps in between, by names that docs does not have."""
+
+    text: str
+    digit: str
+    base: dict[str, str]
+    loose: dict[str, str]
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """base_spans with, for each kind, loose_<kind>: candidates outside the kind's base spans, with votes and shape."""
-    empty = F.array().cast("array<struct<start:int,end:int,found:string>>")
-    found = {f"_loose_{k}": F.when(_guard(k, True, F.col("_t")), find(F.col("_t"), LOOSE[k])).otherwise(empty) for k in KINDS}
-    out = docs.withColumns(found)
-    outside = {k: F.filter(f"_loose_{k}", _of(k, lambda k, s: (F.lit(True) if k == "email" else _check(k, s["found"])) & ~F.exists(f"base_{k}", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))) for k in KINDS}
-    return out.withColumns({f"loose_{k}": F.transform(outside[k], _of(k, lambda k, s: _voted(k, s))) for k in KINDS}).drop(*found)
+def _names(docs: DataFrame) -> Names:
+    return Names(fresh(docs, "text"), fresh(docs, "digit"), {k: fresh(docs, f"pieces_{k}") for k in KINDS}, {k: fresh(docs, f"loose_{k}") for k in KINDS})
+
+
+def _guard(kind: str, loose: bool, names: Names) -> Column:
+    """A cheap test that no text with a match fails."""
+    text = F.col(names.text)
+    if kind == "email":
+        return (text.contains("(at)") | text.contains("[at]") | text.contains("(AT)") | text.contains("[AT]")) if loose else text.contains("@")
+    if kind == "phone" and not loose:
+        return text.contains("+")
+    return F.col(names.digit)
+
+
+def base_spans(docs: DataFrame, text: str = "text", names: Names | None = None) -> DataFrame:
+    """docs with base_<kind>: array<struct<start, end, found>> for each kind."""
+    own = names or _names(docs)
+    out = docs.withColumn(own.text, F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn(own.digit, F.col(own.text).rlike("[0-9]"))
+    out = out.withColumns({own.base[k]: F.when(_guard(k, False, own), pieces(F.col(own.text), BASE[k])) for k in KINDS})
+    spans = lambda k: F.filter(find(F.col(own.base[k])), _of(k, lambda k, s: valid(k, s["found"])))
+    out = out.withColumns({f"base_{k}": F.when(F.size(own.base[k]) > 1, spans(k)).otherwise(F.array().cast(f"array<{_SPAN}>")) for k in KINDS})
+    return out if names else out.drop(own.text, own.digit, *own.base.values())
+
+
+def candidates(docs: DataFrame, names: Names) -> DataFrame:
+    """base_spans with loose_<kind>: candidates beside the kind's base spans, and base matches (base = true), with votes and shape."""
+    out = docs
+    for k in KINDS:
+        # base spans are blanked out, sign for sign, before the looser pattern is sought
+        blank = F.array_join(F.transform(F.col(names.base[k]), _of(k, lambda k, x: F.concat(x["between"], F.when(x["found"].isNull(), F.lit("")).when(valid(k, x["found"]), F.repeat(F.lit("\x01"), F.length(x["found"]))).otherwise(x["found"])))), "")
+        beside = F.when(F.size(f"base_{k}") > 0, blank).otherwise(F.col(names.text))
+        out = out.withColumn(names.loose[k], F.when(_guard(k, True, names), pieces(beside, LOOSE[k])))
+    return out.withColumns({names.loose[k]: F.concat(_judged(k, names.loose[k], False), _judged(k, names.base[k], True)) for k in KINDS})
+
+
+def _judged(kind: str, parts: str, base: bool) -> Column:
+    """The matches of pieces with votes: array<struct<start, end, found, base, votes, shape>>."""
+    p = F.col(parts)
+    at = find(p)
+    near = F.transform(at, lambda s, i: F.struct(s.alias("span"), F.right(F.get(p, i)["between"], F.lit(40)).alias("before"), F.left(F.get(p, i + 1)["between"], F.lit(24)).alias("after")))
+    if not base and kind != "email":
+        near = F.filter(near, lambda x: _check(kind, x["span"]["found"]))  # what fails its test is no candidate
+    if base and kind == "card":
+        near = F.filter(near, lambda x: F.length(_digits(x["span"]["found"])).between(13, 19))  # any other number is no card
+    judged = F.transform(near, lambda x: _voted(kind, x["span"]["start"], x["span"]["found"], x["before"], x["after"], base))
+    return F.when(F.size(p) > 1, judged).otherwise(F.array().cast(f"array<{_VOTED}>"))
 
 
 def _vote(yes: Column, no: Column | None = None) -> Column:
@@ -146,13 +236,10 @@ def _check(kind: str, found: Column) -> Column:
         return F.length(_digits(found)).between(8, 15)
     if kind == "ip":
         return F.when(found.contains(":"), F.lit(True)).otherwise(valid("ip", found))
-    return found.rlike(r"(?:[(\[](?:dot|DOT)[)\]]|\.)\x20?[A-Za-z]{2,}$")
+    return found.rlike(r"(?:[(\[](?:dot|DOT)[)\]]|\.)\x20?[A-Za-z]{2,}+$")
 
 
-def _voted(kind: str, s: Column) -> Column:
-    t, found = F.col("_t"), s["found"]
-    before = F.substring(t, F.greatest(s["start"] - 39, F.lit(1)), F.least(s["start"], F.lit(40)))
-    after = F.substring(t, s["end"] + 1, F.lit(24))
+def _voted(kind: str, start: Column, found: Column, before: Column, after: Column, base: bool) -> Column:
     digits = F.length(_digits(found))
     check = _check(kind, found)
     votes = {
@@ -164,7 +251,7 @@ def _voted(kind: str, s: Column) -> Column:
         "border": _vote(~before.rlike(r"[\p{L}\p{N}_.]$") & ~after.rlike(r"^[\p{L}\p{N}_]"), before.rlike(r"[\p{L}\p{N}_.]$") | after.rlike(r"^[\p{L}\p{N}_]")),
     }
     shape = F.concat(F.least(digits, F.lit(20)).cast("string"), F.when(found.rlike(r"[\x20().-]"), F.lit("s")).otherwise(F.lit("")), F.when(found.startswith("+"), F.lit("+")).otherwise(F.lit("")))
-    return F.struct(s["start"].alias("start"), s["end"].alias("end"), found.alias("found"), *[v.cast("int").alias(n) for n, v in votes.items()], shape.alias("shape"))
+    return F.struct(start.alias("start"), (start + F.length(found)).alias("end"), found.alias("found"), F.lit(base).alias("base"), *[v.cast("int").alias(n) for n, v in votes.items()], shape.alias("shape"))
 
 
 # --- the model --------------------------------------------------------------------------------------------------------
@@ -247,8 +334,10 @@ def train(rows: list[tuple[str, tuple[int, ...], str, float]]) -> Model:
 
 def fit(docs: DataFrame) -> Model:
     """Votes of all candidates of docs, counted in Spark by pattern; EM and classifier over the counts."""
-    rows = candidates(base_spans(docs.select(F.col("text"))))
-    each = rows.select(F.explode(F.flatten(F.array(*[F.transform(f"loose_{k}", _of(k, lambda k, s: F.struct(F.lit(k).alias("kind"), *[s[n].alias(n) for n in LABELERS], s["shape"].alias("shape")))) for k in KINDS]))).alias("s")).select("s.*")
+    docs = docs.select("text")
+    names = _names(docs)
+    rows = candidates(base_spans(docs, names=names), names)
+    each = rows.select(F.explode(F.flatten(F.array(*[F.transform(names.loose[k], _of(k, lambda k, s: F.struct(F.lit(k).alias("kind"), *[s[n].alias(n) for n in LABELERS], s["shape"].alias("shape")))) for k in KINDS]))).alias("s")).select("s.*")
     table = each.groupBy("kind", *LABELERS, "shape").agg(F.count(F.lit(1)).alias("n")).collect()
     return train([(r["kind"], tuple(r[n] for n in LABELERS), r["shape"], float(r["n"])) for r in table])
 
@@ -269,16 +358,17 @@ def _accepts(model: Model, kind: str, s: Column) -> Column:
 
 def spans(docs: DataFrame, model: Model) -> DataFrame:
     """docs with base_<kind> and span_<kind> (base spans and accepted candidates, by start) for each kind."""
-    rows = candidates(base_spans(docs))
+    names = _names(docs)
+    rows = candidates(base_spans(docs, names=names), names)
     plain = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found"))
     out = {}
     for k in KINDS:
         if k in model.bias:
-            added = F.transform(F.filter(f"loose_{k}", _of(k, lambda k, s: _accepts(model, k, s))), plain)
-            out[f"span_{k}"] = F.when(F.size(f"loose_{k}") == 0, F.col(f"base_{k}")).otherwise(F.sort_array(F.concat(F.col(f"base_{k}"), added)))
+            added = F.transform(F.filter(names.loose[k], _of(k, lambda k, s: ~s["base"] & _accepts(model, k, s))), plain)
+            out[f"span_{k}"] = F.when(F.size(names.loose[k]) == 0, F.col(f"base_{k}")).otherwise(F.sort_array(F.concat(F.col(f"base_{k}"), added)))
         else:
             out[f"span_{k}"] = F.col(f"base_{k}")
-    return rows.withColumns(out).drop("_t", "_digit", *[f"loose_{k}" for k in KINDS])
+    return rows.withColumns(out).drop(names.text, names.digit, *names.base.values(), *names.loose.values())
 
 
 def listing(prefix: str) -> Column:
@@ -287,9 +377,38 @@ def listing(prefix: str) -> Column:
 
 
 def masked(text: Column) -> Column:
-    """The text with every span of span_<kind> replaced by <KIND>; of overlapping spans the first to start (then the longest) counts."""
+    """The text with every span of span_<kind> replaced by <KIND>; spans that overlap are one place with the mark of the first to start (then of the longest)."""
     every = F.sort_array(F.flatten(F.array(*[F.transform(f"span_{k}", _of(k, lambda k, s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.lit(f"<{k.upper()}>").alias("mark")))) for k in KINDS])))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    step = lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(F.struct((-s["back"]).alias("at"), F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), s["mark"])).alias("out")))
-    joined = F.aggregate(every, first, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(every) == 0, text).otherwise(joined)
+
+    def united(spans: Column) -> Column:
+        reach = running(F.transform(spans, lambda s: -s["back"]), F.greatest)  # where the spans before each one end
+        placed = F.transform(reach, lambda end, i: F.struct(F.get(spans, i)["start"].alias("start"), end.alias("before"), F.get(spans, i)["mark"].alias("mark")))
+        heads = F.filter(placed, lambda s, i: (i == 0) | (s["start"] >= s["before"]))
+        last = F.aggregate(spans, F.lit(0), lambda a, s: F.greatest(a, -s["back"]))
+        return once(heads, lambda h: F.transform(h, lambda s, i: F.struct(s["start"].alias("start"), F.coalesce(F.get(h, i + 1)["before"], last).alias("end"), s["mark"].alias("mark"))))
+
+    return F.when(F.size(every) == 0, text).otherwise(once(once(every, united), lambda told: _replaced(text, told)))
+
+
+def _replaced(text: Column, told: Column) -> Column:
+    """The text with non-overlapping spans (start, end, mark) in order replaced by their marks.
+
+    A place in a text is found by counting from its beginning; so the text is cut into blocks of spans first, and these into spans.
+    """
+
+    def block(b: Column) -> Column:
+        low = F.when(b == 0, F.lit(0)).otherwise(F.get(told, b * BLOCK - 1)["end"])
+        high = F.get(told, F.least((b + 1) * BLOCK, F.size(told)) - 1)["end"]
+        whole = F.struct(F.substring(text, low + 1, high - low).alias("text"), low.alias("low"), _own(b, told).alias("own"))
+
+        def put(w: Column) -> Column:
+            def one(s: Column, i: Column) -> Column:
+                after = F.when(i == 0, w["low"]).otherwise(F.get(w["own"], i - 1)["end"])
+                return F.concat(F.substring(w["text"], after - w["low"] + 1, s["start"] - after), s["mark"])
+
+            return F.array_join(F.transform(w["own"], one), "")
+
+        return once(whole, put)
+
+    body = F.array_join(F.transform(_blocks(told), block), "")
+    return F.concat(body, F.substring(text, F.get(told, F.size(told) - 1)["end"] + 1, F.length(text)))

@@ -190,10 +190,10 @@ FROM d LEFT JOIN kept USING (doc_id)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base counts, digest of the base spans and all spans of every document."""
+    """Base counts, digest of the base spans, all spans and their number of every document."""
     docs = load(spark, sf_dir, "documents", "doc_id", "text")
     found = pii.spans(docs, pii.fit(docs))
-    return found.select("doc_id", *[F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS], F.sha2(pii.listing("base"), 256).alias("base_sha256"), pii.listing("span").alias("spans"))
+    return found.select("doc_id", *[F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS], F.sha2(pii.listing("base"), 256).alias("base_sha256"), pii.listing("span").alias("spans"), sum((F.size(f"span_{k}") for k in pii.KINDS[1:]), F.size(f"span_{pii.KINDS[0]}")).cast("long").alias("n_spans"))
 
 
 # --- 10: near duplicates ----------------------------------------------------------------------------------------------

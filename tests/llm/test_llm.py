@@ -436,6 +436,66 @@ def test_pii_base_equals_brute_force_and_method_adds(spark):
     assert pii.spans(none, pii.fit(none)).count() == 0
 
 
+def with_luhn(rng, start: str, size: int) -> str:
+    body = start + "".join(rng.choice("0123456789") for _ in range(size - len(start) - 1))
+    return next(body + d for d in "0123456789" if luhn(body + d))
+
+
+def test_pii_finds_planted_spans_beyond_the_base(spark):
+    """Added spans of all four kinds against planted ones: precision and recall on look-alikes that are none."""
+    rng = random.Random(19)
+    word = lambda: "".join(rng.choice("la mi do re te so".split()) for _ in range(3))
+    ip6 = lambda: ":".join(f"{rng.randrange(16**4):x}" for _ in range(8))
+    made = {  # personal data that the base patterns miss
+        "email": lambda: f"{word()}.{word()} [at] {word()} [dot] com",
+        "ip": lambda: "".join(ip6()),
+        "card": lambda: (lambda c: f"{c[:4]} {c[4:10]} {c[10:]}")(with_luhn(rng, "37", 15)),
+        "phone": lambda: f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}",
+    }
+    before = {"email": ["mail", "write to", "contact", ""], "ip": ["from host", "login from", "address", ""], "card": ["card", "payment by", "visa", ""], "phone": ["call", "phone", "tel", ""]}
+    base = {"email": lambda: f"{word()}@{word()}.org", "ip": lambda: ".".join(str(rng.randint(1, 254)) for _ in range(4)), "card": lambda: with_luhn(rng, "4", 16), "phone": lambda: f"+1 ({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"}
+    fake = {"email": lambda: f"{word()} (at) {word()}.1x", "ip": lambda: "version=" + "1.2.3.300", "card": lambda: "isbn 3712 123456 12345", "phone": lambda: "order #" + f"{rng.randint(0, 99):03d}-{rng.randint(100, 999)}-{rng.randint(1000, 9999)}"}
+    rows, want = [], set()
+    for i in range(400):
+        text, k = word() + " ", rng.choice(pii.KINDS)
+        for what in rng.sample(["made", "base", "fake", "none"], 2):
+            if what == "made":
+                lead = rng.choice(before[k])
+                text += (lead + " ") * bool(lead)
+                span = made[k]()
+                want.add((i, f"{k}:{len(text)}:{len(text) + len(span)}"))
+                text += span + f" {word()}. "
+            elif what != "none":
+                text += (rng.choice(before[k]) + " " + base[k]() if what == "base" else fake[k]()) + f" {word()}. "
+        rows.append(text)
+    docs = frame(spark, rows, list(range(len(rows))))
+    out = pii.spans(docs, pii.fit(docs)).select("doc_id", pii.listing("base").alias("b"), pii.listing("span").alias("s")).collect()
+    got = {(r.doc_id, x) for r in out for x in set(r.s.split(",")) - set(r.b.split(","))} - {(r.doc_id, "") for r in out}
+    for k in pii.KINDS:
+        mine, theirs = {x for x in got if x[1].startswith(k)}, {x for x in want if x[1].startswith(k)}
+        assert len(mine & theirs) >= 0.9 * len(theirs) > 20, (k, "recall", len(mine & theirs), len(theirs), sorted(theirs - mine)[:5])
+        assert len(mine & theirs) >= 0.9 * len(mine), (k, "precision", sorted(mine - theirs)[:5])
+
+
+def test_pii_takes_time_in_proportion(spark):
+    """Long runs and many matches: minutes and more where a run is tried from each character or a list copied for each match."""
+    n = 300_000
+    rows = ["a" * n, "1" * n, "x@b.c " * (n // 6), "a [at] b [dot] c " * (n // 17), "1." * (n // 2), "a@" * (n // 2), "+1" + " " * n]
+    docs = frame(spark, rows, list(range(len(rows))))
+    out = {r.doc_id: r for r in pii.spans(docs, pii.fit(docs)).select("doc_id", F.size("base_email").alias("e"), F.size("span_ip").alias("i"), F.md5(pii.masked(F.col("text"))).alias("m")).collect()}
+    assert out[2].e == n // 6 and out[4].i == n // 8 and out[0].e == 0
+    assert out[2].m == hashlib.md5(("<EMAIL> " * (n // 6)).encode()).hexdigest()
+
+
+def test_pii_vote_table_equals_brute_force(spark):
+    rows = ["mail x@y.com now", "mail x@y.com now", "call +1 (234) 567-8901", "id=4539578763621486 and 4539578763621487", "", None, "1.2.3.4 1.2.3.999"]
+    docs = frame(spark, rows)
+    names = pii._names(docs)
+    got = pii.candidates(pii.base_spans(docs, names=names), names)
+    seen = Counter((k, s["found"], s["check"], s["context"], s["against"]) for r in got.collect() for k in pii.KINDS for s in r[names.loose[k]])
+    assert seen == {("email", "x@y.com", 1, 1, 0): 2, ("phone", "+1 (234) 567-8901", 1, 1, 0): 1, ("card", "4539578763621486", 1, 0, -1): 1, ("card", "4539578763621487", -1, 0, 0): 1, ("ip", "1.2.3.4", 1, 0, 0): 1, ("ip", "1.2.3.999", -1, 0, 0): 1}, seen
+
+
 def test_expectation_maximisation_finds_the_reliable_labelers():
     rng = random.Random(2)
     count = Counter()
