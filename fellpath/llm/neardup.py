@@ -15,13 +15,17 @@ Plan, at any size:
 1. Equal bags are one unit (an aggregation over a 128-bit digest of the sorted bag); copies never meet each other again.
 2. ``BANDS`` bands of ``ROWS`` registers: pairs of similarity 0.8 share no band with probability 5e-6. Every unit of a band
    bucket is verified against the bucket's smallest unit only (a join that adaptive execution may split).
-3. Units of buckets that still hold several classes form families; inside a family, units of different classes are compared
-   exactly, in blocks inside tasks, so that no link is lost that the smallest unit of a bucket does not have, and no list
-   of compared pairs is ever made.
+3. Units of buckets that still hold several classes are joined exactly, on prefixes: a bag of n shingles (the k-th copy of a
+   shingle is one of its own), rarest first, must share one of its first n - ceil(t n) + 1 with any bag that is similar enough, and
+   where they first meet, enough of both must be left. Every unit is verified against the most central unit of each of its
+   prefix shingles (the one with the fewest rare shingles before it), and classes are joined again; then only pairs that are still
+   in different classes, that could reach the threshold by size and place, meet at all. No link is lost, no list of all
+   pairs of a bucket is made, and a frequent shingle is a join key that adaptive execution may split.
 4. Classes by contraction: each class joins its smallest neighbour, until no link crosses classes.
 
-Defined results: documents without words are alone in their class; the class id is the smallest document id in it (a null id
-counts as the smallest and is returned as null); rows that repeat an id count as one document with all their links.
+Defined results: one row for each row of docs. Documents without words are alone in their class; the class id is the smallest
+document id in it (a null id is the smallest). Rows that share an id, or have none, are judged each by its own text: what they
+share is only the id, so that they may have several classes.
 """
 
 from __future__ import annotations
@@ -30,7 +34,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +43,6 @@ from .shared import Words, id_key, mix, small_batches, steps, strings, written
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 40, 6
 #: A character of a word.
 WORD = r"[^\x20\x09-\x0D]"
-#: Units of one block, and tokens of one slice, when families are compared.
-BLOCK, TOKENS = 1500, 4096
 _NONE = -(2**63)
 _C1, _C2, _C3 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
@@ -126,8 +127,8 @@ def _signature_rows(bands: int, rows: int):
             pair = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(n, 2)
             total = np.bincount(doc, weights=weight, minlength=n).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(total), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(mixed.reshape(-1).view(np.int64)))],
-                names=["key", "d1", "d2", "size", "bands"],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(total), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(mixed.reshape(-1).view(np.int64)))],
+                names=["doc_id", "key", "mark", "d1", "d2", "size", "bands"],
             )
 
     return run
@@ -187,120 +188,85 @@ def components(links: DataFrame) -> DataFrame:
         of = written(of.join(hang.withColumnRenamed("b", "class"), "class", "left").select("key", F.coalesce("to", "class").alias("class")), "classes")
 
 
-def overlap_matrix(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the common parts of every left and right set of tokens, by matrix products over slices of the tokens."""
-    def laid(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        return np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-
-    (a, ra), (b, rb) = laid(left), laid(right)
-    shared = np.intersect1d(a, b)
-    ia, ib = np.searchsorted(shared, a), np.searchsorted(shared, b)
-    ha = np.flatnonzero(shared[np.minimum(ia, len(shared) - 1)] == a) if len(shared) else np.zeros(0, np.int64)
-    hb = np.flatnonzero(shared[np.minimum(ib, len(shared) - 1)] == b) if len(shared) else np.zeros(0, np.int64)
-    ia, ra, ib, rb = ia[ha], ra[ha], ib[hb], rb[hb]
-    ka, kb = np.argsort(ia, kind="stable"), np.argsort(ib, kind="stable")
-    ia, ra, ib, rb = ia[ka], ra[ka], ib[kb], rb[kb]
-    out = np.zeros((len(left), len(right)), dtype=np.float32)
-    for low in range(0, len(shared), TOKENS):
-        x, y = np.zeros((len(left), TOKENS), np.float32), np.zeros((len(right), TOKENS), np.float32)
-        for rows, at, m in ((ra, ia, x), (rb, ib, y)):
-            i, j = np.searchsorted(at, (low, low + TOKENS))
-            m[rows[i:j], at[i:j] - low] = 1
-        out += x @ y.T
-    return out
-
-
-def _tokens(texts: list[str]) -> list[np.ndarray]:
-    """The bag of each text as a set: the k-th copy of a shingle is a token of its own."""
-    out = []
-    for text in texts:
-        doc, value, weight = bags(Words(*strings(pa.array([text], type=pa.string()))))
+def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(unit, class, n, tokens): the bag of each text as a set, in which the k-th copy of a shingle is a token of its own."""
+    for batch, buf, offsets in steps(batches):
+        doc, value, weight = bags(Words(buf, offsets))
         nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
-        out.append(mix(np.repeat(value, weight) + nth.astype(np.uint64) * _C2))
-    return out
-
-
-def _block_links(threshold: float):
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["unit", "side"], kind="stable")
-        same = key[1] == key[2]
-        left = frame if same else frame[frame["side"] == 0]
-        right = frame if same else frame[frame["side"] == 1]
-        out = []
-        if len(left) and len(right):
-            x = _tokens(left["text"].tolist())
-            y = x if same else _tokens(right["text"].tolist())
-            nx, ny = np.array([len(t) for t in x]), np.array([len(t) for t in y])
-            common = overlap_matrix(x, y)
-            total = nx[:, None] + ny[None, :] - common
-            apart = left["class"].to_numpy()[:, None] != right["class"].to_numpy()[None, :]
-            i, j = np.nonzero((common >= (threshold - 1e-9) * total) & (total > 0) & apart)
-            u, v, w = left["unit"].to_numpy()[i], right["unit"].to_numpy()[j], (common[i, j] / total[i, j]).astype(float)
-            cu, cv = left["class"].to_numpy()[i], right["class"].to_numpy()[j]
-            up: dict[int, int] = {}
-
-            def top(c: int) -> int:
-                while up.get(c, c) != c:
-                    up[c] = up.get(up[c], up[c])
-                    c = up[c]
-                return c
-
-            for k in np.lexsort((v, u, -w)).tolist():  # of the links of a block, those that join classes not joined yet
-                p, q = top(int(cu[k])), top(int(cv[k]))
-                if p != q:
-                    up[max(p, q)] = min(p, q)
-                    out.append((int(min(u[k], v[k])), int(max(u[k], v[k])), float(w[k])))
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
-
-    return run
-
-
-def crossing(buckets: DataFrame, of: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b, similarity) across classes, among the units of buckets that hold several classes; written.
-
-    Units that such buckets connect are a family. Inside a family all units of different classes are compared exactly, block by
-    block of at most ``BLOCK`` units, inside a task; what comes out are links only, never the pairs that were compared.
-    """
+        token = mix(np.repeat(value, weight) + nth.astype(np.uint64) * _C2).view(np.int64)
+        size = np.bincount(doc, weights=weight, minlength=len(offsets) - 1).astype(np.int64)
+        cut = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), pa.ListArray.from_arrays(pa.array(cut), pa.array(token))], names=["unit", "class", "n", "tokens"])
+
+
+def prefixes(involved: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(unit, class, n, place, token) of the prefix tokens of the units (unit, class), rarest first; written. Tokens of a single unit are left out."""
+    rows = involved.join(texts.withColumnRenamed("key", "unit"), "unit").dropDuplicates(["unit"]).select("unit", "class", "text")
+    bag = written(rows.mapInArrow(_token_rows, "unit long, class long, n long, tokens array<long>"), "tokens")
+    each = bag.select("unit", "n", F.explode("tokens").alias("token"))
+    shared = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    own = each.join(shared, "token").groupBy("unit", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))  # of one text
+    first = F.col("n") - F.size("tokens")  # tokens of this unit alone come first
+    last = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9)  # place of the last prefix token
+    own = own.withColumn("first", first).withColumn("tokens", F.slice("tokens", F.lit(1), F.greatest(last - first + 1, F.lit(0)).cast("int")))
+    out = own.select("unit", "n", "first", F.posexplode("tokens").alias("i", "t")).select("unit", "n", (F.col("first") + F.col("i")).alias("place"), F.col("t.token").alias("token"))
+    return written(out.join(bag.select("unit", "class"), "unit").select("unit", "class", "n", "place", "token"), "prefixes")
+
+
+def _reachable(a: str, b: str, threshold: float):
+    """Whether two bags that first meet at a token can be similar enough, by what is left of both from there on."""
+    left = F.least(F.col(f"{a}.n") - F.col(f"{a}.place"), F.col(f"{b}.n") - F.col(f"{b}.place"))
+    return left * (1 + threshold) >= threshold * (F.col(f"{a}.n") + F.col(f"{b}.n")) - 1e-6
+
+
+def crossing(buckets: DataFrame, links: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """links (a, b, similarity) with all that cross their classes among the units of buckets which hold several."""
+    of = components(links)
     rows = buckets.join(of.withColumnRenamed("key", "unit"), "unit", "left").withColumn("class", F.coalesce("class", "unit"))
     mixed = rows.groupBy("band", "value").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("band", "value")
-    involved = written(rows.join(mixed, ["band", "value"]).select("unit", "class", "hub").distinct(), "involved")
-    family = components(involved.select(F.col("unit").alias("a"), F.col("hub").alias("b")).distinct())
-    member = involved.select("unit", "class").distinct().join(family.select(F.col("key").alias("unit"), F.col("class").alias("family")), "unit")
-    sizes = member.groupBy("family").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
-    member = member.join(sizes.select("family", "blocks"), "family").withColumn("block", F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int"))
-    member = member.join(texts.withColumnRenamed("key", "unit"), "unit").dropDuplicates(["unit"])
-    # block pairs i <= j: a unit is on the left of the pairs (block, j) and on the right of the pairs (i, block)
-    places = F.concat(F.transform(F.sequence(F.col("block"), F.col("blocks") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(0).alias("side"))), F.when(F.col("block") > 0, F.transform(F.sequence(F.lit(0), F.col("block") - 1), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side")))).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>")))
-    spread = member.select("family", "unit", "class", "text", F.explode(places).alias("p")).select("family", "p.i", "p.j", "p.side", "unit", "class", "text")
-    return written(spread.groupBy("family", "i", "j").applyInPandas(_block_links(threshold), "a long, b long, similarity double"), "crossing")
+    involved = written(rows.join(mixed, ["band", "value"]).select("unit", "class").distinct(), "involved")
+    if involved.isEmpty():
+        return links
+    place = prefixes(involved, texts, threshold)
+
+    def centres(rows: DataFrame) -> DataFrame:
+        """The unit with the fewest rarer tokens, of each token whose units are in several classes."""
+        found = rows.groupBy("token").agg(F.min(F.struct("place", "unit", "class", "n")).alias("c"), F.min("class").alias("low"), F.max("class").alias("high"))
+        return found.where("low <> high").select("token", "c.*")
+
+    near = place.alias("x").join(centres(place).alias("c"), "token").where((F.col("x.class") != F.col("c.class")) & _reachable("x", "c", threshold))
+    pairs = near.select(F.least("x.unit", "c.unit").alias("a"), F.greatest("x.unit", "c.unit").alias("b"))
+    links = written(links.unionByName(verified(pairs, texts, threshold, "centres")), "links")
+    of = components(links).withColumnRenamed("key", "unit").withColumnRenamed("class", "now")
+    place = written(place.join(of, "unit", "left").select("unit", F.coalesce("now", "class").alias("class"), "n", "place", "token"), "prefixes")
+    # of two classes that meet at a token one is not its centre's: those units are on the left
+    held = place.join(centres(place).select("token", F.col("class").alias("main")), "token")
+    left, right = written(held.where("class <> main"), "apart").alias("x"), held.alias("y")
+    once = (F.col("y.class") == F.col("y.main")) | (F.col("x.unit") < F.col("y.unit"))
+    met = left.join(right, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") != F.col("y.class")) & once & _reachable("x", "y", threshold))
+    pairs = met.select(F.least("x.unit", "y.unit").alias("a"), F.greatest("x.unit", "y.unit").alias("b"))
+    return written(links.unionByName(verified(pairs, texts, threshold, "crossing")), "links")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row for each row of docs (doc_id, text): doc_id, class_id (smallest id of its class) and n_links.
-
-    n_links counts the verified links of the document's unit that hold its class together; copies with equal bags share their unit.
-    """
+    """One row for each row of docs (doc_id, text): doc_id and class_id, the smallest id of its class."""
     small_batches(docs.sparkSession)
-    texts = docs.select(id_key().alias("key"), F.col("text").cast("string").alias("text"))
-    sigs = written(texts.mapInArrow(_signature_rows(bands, rows), "key long, d1 long, d2 long, size long, bands array<long>"), "signatures")
-    full = sigs.where("size > 0")
-    units = written(full.groupBy("d1", "d2").agg(F.min("key").alias("unit"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands")), "units")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_key().alias("key"), F.xxhash64(F.col("text").cast("string")).alias("mark"), F.col("text").cast("string").alias("text"))
+    sigs = written(texts.mapInArrow(_signature_rows(bands, rows), "doc_id long, key long, mark long, d1 long, d2 long, size long, bands array<long>"), "signatures")
+    units = sigs.where("size > 0").groupBy("d1", "d2").agg(F.min(F.struct("key", "mark")).alias("one"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"))
+    # numbers are given once, as the table is written
+    units = written(units.select(F.monotonically_increasing_id().alias("unit"), "d1", "d2", "one.key", "one.mark", "size", "bands"), "units")
     spread = units.select("unit", "size", F.posexplode("bands").alias("band", "value"))
     hubs = spread.groupBy("band", "value").agg(F.min(F.struct("unit", "size")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = written(spread.join(hubs.select("band", "value", F.col("hub.unit").alias("hub"), F.col("hub.size").alias("hub_size")), ["band", "value"]), "buckets")
     alike = F.least("size", "hub_size") >= F.lit(threshold) * F.greatest("size", "hub_size") - 1e-9
     stars = buckets.where("unit <> hub").where(alike).select(F.col("hub").alias("a"), F.col("unit").alias("b"))
-    # the texts of all units that share a bucket with another, taken from the corpus once
-    near = written(texts.join(buckets.select(F.col("unit").alias("key")).distinct(), "key", "left_semi"), "texts")
-    links = verified(stars, near, threshold, "stars")
-    of = components(links)
-    more = crossing(buckets.select("band", "value", "unit", "hub"), of, near, threshold)
-    if not more.isEmpty():
-        links = written(links.unionByName(more).groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "links")
-        of = components(links)
-    ends = links.select(F.explode(F.array("a", "b")).alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("n_links"))
-    member = sigs.select("key", "size", "d1", "d2").distinct().join(units.select("d1", "d2", "unit"), ["d1", "d2"], "left")
-    member = member.join(of.withColumnRenamed("key", "unit"), "unit", "left").join(ends, "unit", "left")
-    whole = member.groupBy("key").agg(F.min(F.coalesce("class", "unit", "key")).alias("class"), F.sum(F.coalesce("n_links", F.lit(0))).alias("n_links"))
-    back = docs.select(F.col("doc_id").cast("long").alias("doc_id")).withColumn("key", id_key())
-    return back.join(whole, "key").select("doc_id", F.when(F.col("class") != _NONE, F.col("class")).alias("class_id"), "n_links")
+    # the texts of all units that share a bucket with another, taken from the corpus once; rows equal in id and text are the same text
+    some = units.join(buckets.select("unit").distinct(), "unit", "left_semi").select(F.col("unit").alias("u"), "key", "mark")
+    near = written(texts.join(some, ["key", "mark"]).select(F.col("u").alias("key"), "text"), "texts")
+    links = crossing(buckets.select("band", "value", "unit"), verified(stars, near, threshold, "stars"), near, threshold)
+    of = units.join(components(links).withColumnRenamed("key", "unit"), "unit", "left").select("d1", "d2", "key", F.coalesce("class", "unit").alias("class"))
+    named = of.groupBy("class").agg(F.min("key").alias("smallest"))
+    known = of.join(named, "class").select("d1", "d2", "smallest")
+    out = sigs.where("size > 0").select("doc_id", "d1", "d2").join(known, ["d1", "d2"]).select("doc_id", F.when(F.col("smallest") != _NONE, F.col("smallest")).alias("class_id"))
+    return out.unionByName(sigs.where("size = 0").select("doc_id", F.col("doc_id").alias("class_id")))

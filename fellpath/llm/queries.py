@@ -200,7 +200,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class of near duplicates and number of links of every document."""
+    """Class of near duplicates of every document."""
     return neardup.near_duplicates(load(spark, sf_dir, "documents", "doc_id", "text"))
 
 

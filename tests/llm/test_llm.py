@@ -564,14 +564,52 @@ def test_near_duplicates_equal_brute_force(spark):
                 up[b] = a
     assert got == {i: top(i) for i in range(len(rows))}
     repeats = neardup.near_duplicates(frame(spark, ["a b c d e f", "a b c d e f", None], [None, 5, 5]))
-    assert sorted((r.doc_id or 0, r.class_id) for r in repeats.collect()) == [(0, None), (5, None), (5, None)]
+    assert sorted((r.doc_id or 0, r.class_id or 0) for r in repeats.collect()) == [(0, 0), (5, 0), (5, 5)]  # the row without a text is judged by itself
     assert neardup.near_duplicates(empty(spark)).count() == 0
 
 
-def test_block_links_in_slices(monkeypatch, spark):
-    monkeypatch.setattr(neardup, "TOKENS", 7)
-    rng = np.random.default_rng(3)
-    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 50))).astype(np.uint64) for _ in range(12)]
-    want = [[len(np.intersect1d(a, b)) for b in sets[:5]] for a in sets]
-    assert neardup.overlap_matrix(sets, sets[:5]).tolist() == want
-    del spark
+def test_near_duplicates_join_classes_within_buckets(spark):
+    """Families of copies with more and more edits: many links that no bucket's smallest unit has."""
+    rng = random.Random(31)
+    word = lambda: rng.choice(SYLLABLES) + rng.choice(SYLLABLES) + rng.choice(SYLLABLES) + rng.choice(SYLLABLES)
+    rows = []
+    for _ in range(3):
+        base = [word() for _ in range(90)]
+        for _ in range(60):
+            copy = list(base)
+            for _ in range(rng.randint(1, 6)):
+                copy[rng.randrange(len(copy))] = word()
+            rows.append(" ".join(copy))
+    rng.shuffle(rows)
+    bags = [bag(t) for t in rows]
+    up = list(range(len(rows)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if similarity(bags[i], bags[j]) >= 0.8 - 1e-9]
+    for i, j in pairs:
+        a, b = sorted((top(i), top(j)))
+        up[b] = a
+    docs = frame(spark, rows, list(range(len(rows))))
+    for bands, width in ((neardup.BANDS, neardup.ROWS), (6, 2)):
+        assert {r.doc_id: r.class_id for r in neardup.near_duplicates(docs, bands=bands, rows=width).collect()} == {i: top(i) for i in range(len(rows))}
+    # every link that crosses classes comes out of the prefix join, whatever is linked before
+    texts = docs.select(F.col("doc_id").alias("key"), "text")
+    alone = docs.select(F.lit(0).alias("band"), F.lit(0).alias("value"), F.col("doc_id").alias("unit"))
+    none = spark.createDataFrame([], "a long, b long, similarity double")
+    got = {r.key: r["class"] for r in neardup.components(neardup.crossing(alone, none, texts, 0.8)).collect()}
+    assert got == {i: top(i) for i in range(len(rows)) if any(i in p for p in pairs)} and len(set(got.values())) >= 3
+
+
+def test_rows_that_share_an_id_keep_their_own_links(spark):
+    rng = random.Random(5)
+    word = lambda: rng.choice(SYLLABLES) + rng.choice(SYLLABLES) + rng.choice(SYLLABLES)
+    a, b = ([word() for _ in range(80)] for _ in range(2))
+    near = lambda t: " ".join(["other", *t[1:]])
+    rows = [(9, " ".join(a)), (9, " ".join(b)), (2, near(a)), (3, near(b)), (None, None), (None, ""), (4, " ".join(b)), (4, " ".join(b))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.class_id or 0) for r in neardup.near_duplicates(docs).collect())
+    assert got == [(0, 0), (0, 0), (2, 2), (3, 3), (4, 3), (4, 3), (9, 2), (9, 3)]
