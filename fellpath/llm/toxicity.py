@@ -4,8 +4,9 @@ Features are 64-bit hashes of words (runs of letters, digits and non-ASCII bytes
 4, 5 and 6 bytes; the value of a feature is log(1 + count). The model is P(grade > k) = sigmoid(w.x - theta_k): one weight
 for each feature, shared by all thresholds, and ordered thresholds. The expected severity is the sum of P(grade > k).
 
-Grades come from the labels: 0 where toxic = 0; toxic documents get 1 to ``GRADES``-1 by equal parts of their density of
-words that speak for toxicity.
+Grades come from the labels: 0 where toxic = 0; toxic documents get 1 to ``GRADES``-1 by equal parts of their severity in the eyes
+of a model that has not seen them: the sample is dealt into ``FOLDS`` parts, and each part is ranked by a two-grade model
+fitted on the others.
 
 Fitting uses at most ``PER_CLASS`` labelled documents of either label (those with the smallest hash of their id); of near
 copies among them (equal smallest shingle hash) one counts. Features are counted over this sample in Spark, and the at most
@@ -32,8 +33,9 @@ from .shared import _BASE, _BYTE, _LOWER, Words, mix, small_batches, steps, writ
 PER_CLASS = 3000
 MAX_FEATURES = 4096
 #: Likelihood ratio that a feature must reach.
-LEAST_RATIO = 20.0
+LEAST_RATIO = 14.0
 GRADES = 4
+FOLDS = 4
 PREFIXES = (4, 5, 6)
 _INSIDE = np.zeros(256, dtype=bool)
 _INSIDE[0x80:] = True
@@ -109,13 +111,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_feat
     expect = F.col("all") * (float(n[1]) / total)
     clean = F.col("all") - F.col("t")
     ratio = 2 * (part(F.col("t"), expect) + part(clean, F.col("all") - expect) + part(n[1] - F.col("t"), n[1] - expect) + part(n[0] - clean, n[0] - (F.col("all") - expect)))
-    best = held.withColumn("ratio", ratio).withColumn("speaks", F.col("t") > expect).where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "f").limit(max_features)
-    best = best.select("f", "speaks").collect()
+    best = held.withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "f").limit(max_features)
+    best = best.select("f").collect()
     if not best:
         return Model()
     names = np.array([r["f"] for r in best], dtype=np.int64).view(np.uint64)
-    order = np.argsort(names)
-    names, speaks = names[order], np.array([r["speaks"] for r in best])[order]
+    names = np.sort(names)
     place = {int(v): i for i, v in enumerate(names.view(np.int64))}
     table = F.broadcast(spark.createDataFrame([(k,) for k in place], "f long"))
     hits = long.join(table, "f").select("doc_id", "f", "c").collect()  # few for each sampled document
@@ -126,17 +127,28 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_feat
     order = np.lexsort((col, row))  # the same sums whatever order rows came in
     row, col, count = row[order], col[order], count[order]
     toxic = np.array([keep[d][0] for d in sorted(keep)])
-    density = np.bincount(row, weights=count * speaks[col], minlength=len(toxic)) / np.maximum(1, [keep[d][1] for d in sorted(keep)])
-    grade = np.zeros(len(toxic), dtype=np.int64)
-    ranks = np.argsort(np.argsort(density[toxic == 1], kind="stable"), kind="stable")
-    grade[toxic == 1] = 1 + ranks * (GRADES - 1) // max(1, len(ranks))
+    grade = held_out_grades(row, col, np.log1p(count), toxic, len(names))
     weights, thresholds = ordinal(row, col, np.log1p(count), grade, len(names))
     return Model(names, weights, thresholds)
 
 
-def ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray, width: int, rounds: int = 400, penalty: float = 0.02, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def held_out_grades(row: np.ndarray, col: np.ndarray, value: np.ndarray, toxic: np.ndarray, width: int) -> np.ndarray:
+    """0 for clean documents, 1 to GRADES-1 by equal parts of the toxic documents of each fold, ranked by a model of the other folds."""
+    grade, fold = np.zeros(len(toxic), dtype=np.int64), np.arange(len(toxic)) % FOLDS
+    for f in range(FOLDS):
+        seen = (fold != f)[row]
+        weights, _ = ordinal(row[seen], col[seen], value[seen], np.where(fold != f, toxic, 0), width, kinds=2, used=fold != f)
+        severity = np.bincount(row, weights=weights[col] * value, minlength=len(toxic))
+        own = np.flatnonzero((fold == f) & (toxic == 1))
+        ranks = np.argsort(np.argsort(severity[own], kind="stable"), kind="stable")
+        grade[own] = 1 + ranks * (GRADES - 1) // max(1, len(ranks))
+    return grade
+
+
+def ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray, width: int, rounds: int = 400, penalty: float = 0.02, rate: float = 0.1, kinds: int = 0, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds of the cumulative-link model, by gradient steps with Adam's step sizes."""
-    n, kinds = len(grade), int(max(GRADES, grade.max(initial=0) + 1))
+    n, kinds = len(grade), kinds or int(max(GRADES, grade.max(initial=0) + 1))
+    used = np.ones(n, dtype=bool) if used is None else used
     theta = np.linspace(0.0, 2.0, kinds - 1)
     x = np.concatenate((np.zeros(width), [theta[0]], np.log(np.diff(theta))))
     m, v = np.zeros_like(x), np.zeros_like(x)
@@ -150,6 +162,7 @@ def ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarr
         like = np.maximum(full[np.arange(n), grade] - full[np.arange(n), grade + 1], 1e-12)
         slope = np.concatenate((np.zeros((n, 1)), p * (1 - p), np.zeros((n, 1))), axis=1)
         up, down = slope[np.arange(n), grade] / like, slope[np.arange(n), grade + 1] / like
+        up, down = up * used, down * used
         by_score = down - up
         by_theta = np.zeros((n, kinds + 1))
         by_theta[np.arange(n), grade] += up
