@@ -48,10 +48,15 @@ def item_shingles(items: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.join(sizes, "item").withColumn("h", F.xxhash64("gram"))
 
 
-def _grams(docs: DataFrame, k: int) -> DataFrame:
-    """(key..., n, gram) of every k words of a document; docs has words."""
-    rows = docs.where(F.size("words") >= k).withColumn("i", F.explode(F.sequence(F.lit(0), F.size("words") - k)))
-    return rows.withColumns({"n": F.size("words"), "gram": F.concat_ws(" ", *_at("words", k))}).drop("words", "i")
+def _grams(docs: DataFrame, lengths: list[int]) -> DataFrame:
+    """(key..., n, k, gram) of every k words of a document, for all lengths k in one pass; docs has words."""
+    least = min(lengths)
+    rows = docs.where(F.size("words") >= least).withColumn("i", F.explode(F.sequence(F.lit(0), F.size("words") - least))).withColumn("n", F.size("words"))
+    gram = lambda k: F.struct(F.lit(k).alias("k"), F.concat_ws(" ", *_at("words", k)).alias("gram"))
+    if len(lengths) == 1:
+        return rows.withColumn("g", gram(least)).select("*", "g.k", "g.gram").drop("words", "i", "g")
+    rows = rows.withColumn("g", F.explode(F.array(*[F.when(F.col("i") + k <= F.col("n"), gram(k)) for k in lengths]))).where("g is not null")
+    return rows.select("*", "g.k", "g.gram").drop("words", "i", "g")
 
 
 def _bounded(table: DataFrame, rows: int) -> DataFrame:
@@ -72,22 +77,17 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     texts = texts.withColumn("key", F.xxhash64("text"))
     words = texts.select("doc_id", "key", plain_words(F.col("text")).alias("words"))
     probe = _bounded(sketch, total)
-    found = None
-    for r in sorted(shape, key=lambda x: x["k"]):
-        grams = _grams(words, r["k"]).withColumn("h", F.xxhash64("gram"))
-        hits = grams.join(probe, "h").where(F.col("n") - r["k"] + 1 >= F.floor(F.lit(threshold) * F.pow(F.lit(2.0), "part"))).select("doc_id", "key", "item")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
+    lengths = sorted(r["k"] for r in shape)
+    if not lengths:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("false").withColumns({"item_id": F.lit(None).cast(items.schema["item_id"].dataType), "n_shared": F.lit(0).cast("long"), "n_shingles": F.lit(0).cast("long"), "containment": F.lit(0.0)})
+    grams = _grams(words, lengths).withColumn("h", F.xxhash64("gram"))
+    found = grams.join(probe, "h").where(F.col("n") - F.col("k") + 1 >= F.floor(F.lit(threshold) * F.pow(F.lit(2.0), "part"))).select("doc_id", "key", "item")
     candidates = written(found.distinct(), "contamination-candidates")
     pick = candidates.select("doc_id", "key").distinct()
     near = texts.alias("t").join(pick.alias("p"), F.expr("t.doc_id <=> p.doc_id and t.key = p.key"), "left_semi")
     near = written(near.select("doc_id", "key", plain_words(F.col("text")).alias("words")).distinct(), "contamination-texts")
-    shared = None
-    for r in shape:
-        full = _bounded(whole.where(F.col("k") == r["k"]).select("h", F.col("gram").alias("of"), "item", "item_id", "q"), r["rows"])
-        rows = _grams(near, r["k"]).withColumn("h", F.xxhash64("gram")).join(full, "h").where("gram = of").select("doc_id", "key", "item", "item_id", "q", "gram")
-        shared = rows if shared is None else shared.unionByName(rows)
+    full = _bounded(whole.select("h", F.col("gram").alias("of"), "item", "item_id", "q"), total)
+    shared = _grams(near, lengths).withColumn("h", F.xxhash64("gram")).join(full, "h").where("gram = of").select("doc_id", "key", "item", "item_id", "q", "gram")
     counts = shared.distinct().groupBy("doc_id", "key", "item", "item_id", "q").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.lit(threshold) * F.col("q") - 1e-9)
     c = candidates.select(F.col("doc_id").alias("c_doc"), F.col("key").alias("c_key"), F.col("item").alias("c_item"))
     sure = counts.join(c, F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("key") == F.col("c_key")) & (F.col("item") == F.col("c_item")), "left_semi")
