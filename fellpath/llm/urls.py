@@ -8,6 +8,8 @@ has; an expression ``host/path`` is joined with the rules on the first bytes of
 expression itself must agree. Distinct pairs come first, so that a hot url is judged once. Rules are broadcast only
 up to ``BROADCAST_RULES`` of them; more are joined by a shuffle, which adaptive execution may split.
 
+The numbers of labels and the path lengths of the rules are literals of the plan, one array each.
+
 Defined results: a null url, or one without ``://``, has an empty host and path and gets the default verdict.
 """
 
@@ -16,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh
+
 #: Hex digits of the short hash (four bytes).
 PREFIX = 8
 #: Rules (at most some hundred bytes each) that may be broadcast: some tens of MB at the most.
@@ -34,8 +38,8 @@ def url_path(url: Column) -> Column:
 def expressions(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
     """Array of {host, path}: the host's suffixes of so many labels, with the path's prefixes of so many characters."""
     parts = F.split(host, r"\.")
-    hosts = F.filter(F.array(*[F.when(F.size(parts) >= n, F.array_join(F.slice(parts, -n, n), ".")) for n in labels]), lambda x: x.isNotNull())
-    paths = F.filter(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]), lambda x: x.isNotNull())
+    hosts = F.transform(F.filter(F.lit(labels), lambda n: F.size(parts) >= n), lambda n: F.array_join(F.slice(parts, -n, n), "."))
+    paths = F.transform(F.filter(F.lit(lengths), lambda n: F.length(path) >= n), lambda n: F.substring(path, F.lit(1), n))
     return F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.struct(h.alias("host"), p.alias("path")))))
 
 
@@ -58,6 +62,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     sure = (F.col("digest") == F.col("r_digest")) & (F.col("e.host") == F.col("r_host")) & (F.col("e.path") == F.col("r_path"))
     size = F.struct((F.length("r_host") + F.length("r_path")).alias("all"), F.length("r_host").alias("host"), F.col("r_verdict").alias("verdict"), F.concat("r_host", "r_path").alias("rule"))
     found = spread.join(table, "short").where(sure).groupBy("host", "path").agg(F.max(size).alias("best"))
-    found = found.select(F.col("host").alias("f_host"), F.col("path").alias("f_path"), F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
-    out = seen.drop("rule", "verdict").join(found, (F.col("host") == F.col("f_host")) & (F.col("path") == F.col("f_path")), "left").drop("f_host", "f_path")
+    f_host, f_path = fresh(seen, "host"), fresh(seen, "path")
+    found = found.select(F.col("host").alias(f_host), F.col("path").alias(f_path), F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
+    out = seen.drop("rule", "verdict").join(found, (F.col("host") == F.col(f_host)) & (F.col("path") == F.col(f_path)), "left").drop(f_host, f_path)
     return out.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
