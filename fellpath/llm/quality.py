@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh
+
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 
@@ -58,28 +60,29 @@ def word_array(text: Column) -> Column:
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs (any columns but the added ones) with the base counts and ratios; the steps stay apart so that none is computed twice."""
-    step = docs.withColumn("_t", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    step = step.withColumns({"_w": word_array(F.col("_t")), "_l": F.filter(F.split("_t", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")})
+    own = {n: fresh(docs, n) for n in ("t", "w", "l", "stop", "bullet", "dots", "h", "p")}
+    step = docs.withColumn(own["t"], F.coalesce(F.col(text).cast("string"), F.lit("")))
+    step = step.withColumns({own["w"]: word_array(F.col(own["t"])), own["l"]: F.filter(F.split(own["t"], "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")})
     step = step.withColumns(
         {
-            "n_words": F.size("_w").cast("long"),
-            "word_chars": F.length(F.translate("_t", BLANKS, "")).cast("long"),
-            "n_symbols": (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long"),
-            "n_lines": F.size("_l").cast("long"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-            "_stop": F.size(F.filter("_w", lambda x: F.lower(x).isin(sorted({w for words in STOP_WORDS.values() for w in words})))),
-            "_bullet": F.size(F.filter("_l", lambda x: F.btrim(x, F.lit(BLANKS)).rlike(r"^[-*•]"))),
-            "_dots": F.size(F.filter("_l", lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))),
-            "_h": F.when(F.size("_w") >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.struct(F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("i"))))),
+            "n_words": F.size(own["w"]).cast("long"),
+            "word_chars": F.length(F.translate(own["t"], BLANKS, "")).cast("long"),
+            "n_symbols": (F.length(own["t"]) - F.length(F.translate(own["t"], SYMBOLS, ""))).cast("long"),
+            "n_lines": F.size(own["l"]).cast("long"),
+            "n_dup_lines": (F.size(own["l"]) - F.size(F.array_distinct(own["l"]))).cast("long"),
+            own["stop"]: F.size(F.filter(own["w"], lambda x: F.lower(x).isin(sorted({w for words in STOP_WORDS.values() for w in words})))),
+            own["bullet"]: F.size(F.filter(own["l"], lambda x: F.btrim(x, F.lit(BLANKS)).rlike(r"^[-*•]"))),
+            own["dots"]: F.size(F.filter(own["l"], lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))),
+            own["h"]: F.when(F.size(own["w"]) >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.size(own["w"]) - 3), lambda i: F.struct(F.xxhash64(F.get(own["w"], i), F.get(own["w"], i + 1), F.get(own["w"], i + 2)).alias("h"), i.alias("i"))))),
         }
     )
-    beside = lambda x, j: F.coalesce(F.get("_h", j)["h"] == x["h"], F.lit(False))
-    step = step.withColumn("_p", F.sort_array(F.transform(F.filter("_h", lambda x, j: beside(x, j - 1) | beside(x, j + 1)), lambda x: x["i"])))
-    gaps = F.aggregate(F.transform("_p", lambda p, j: F.when(j == 0, F.lit(3)).otherwise(F.least(F.lit(3), p - F.get("_p", j - 1)))), F.lit(0), lambda a, b: a + b)
+    beside = lambda x, j: F.coalesce(F.get(own["h"], j)["h"] == x["h"], F.lit(False))
+    step = step.withColumn(own["p"], F.sort_array(F.transform(F.filter(own["h"], lambda x, j: beside(x, j - 1) | beside(x, j + 1)), lambda x: x["i"])))
+    gaps = F.aggregate(F.transform(own["p"], lambda p, j: F.when(j == 0, F.lit(3)).otherwise(F.least(F.lit(3), p - F.get(own["p"], j - 1)))), F.lit(0), lambda a, b: a + b)
     step = step.withColumn("n_repeat_words", F.coalesce(gaps, F.lit(0)).cast("long"))
     part = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
-    step = step.withColumns({"mean_word_length": part("word_chars", "n_words"), "symbol_ratio": part("n_symbols", "n_words"), "stop_word_ratio": part("_stop", "n_words"), "dup_line_ratio": part("n_dup_lines", "n_lines"), "bullet_line_ratio": part("_bullet", "n_lines"), "ellipsis_line_ratio": part("_dots", "n_lines")})
-    return step.drop("_t", "_w", "_l", "_stop", "_bullet", "_dots", "_h", "_p")
+    step = step.withColumns({"mean_word_length": part("word_chars", "n_words"), "symbol_ratio": part("n_symbols", "n_words"), "stop_word_ratio": part(own["stop"], "n_words"), "dup_line_ratio": part("n_dup_lines", "n_lines"), "bullet_line_ratio": part(own["bullet"], "n_lines"), "ellipsis_line_ratio": part(own["dots"], "n_lines")})
+    return step.drop(*own.values())
 
 
 def compile_rules(rules: tuple[Rule, ...] = RULES) -> tuple[Column, Column]:
