@@ -1,6 +1,6 @@
 """License scans by conditional compression.
 
-A document is cut into units (lines; sentences of long lines). Units with a cue (license, copyright, warranty, ...) and the few
+A document is cut into units (the sentences of lines). Units with a cue (license, copyright, warranty, ...) and the few
 units between them are a candidate block. Notices are sought in a block and in as many words before and after it as a notice may
 have. Where a window has enough of a template's words, they are aligned one by one (at least ``COVER`` of the template's words in
 order); the words of each such place are compressed by zstandard alone, and again with the template as a raw dictionary: the more
@@ -31,14 +31,10 @@ from pyspark.sql import functions as F
 
 from .shared import small_batches
 
-#: Share of a template's words that a block must have, in order.
+#: Share of a template's words that a notice must have, in order; and of those of its words that no other license has.
 COVER = 0.8
-#: Words below which a template must not miss a word that only its license has.
-SHORT = 12
 #: Units without a cue that may stand between two units of one block.
 GAP = 4
-#: Characters from which a line is cut into sentences.
-LONG_LINE = 240
 LEVEL = 9
 #: Unknown blocks that a worker remembers.
 MEMO = 20_000
@@ -75,6 +71,19 @@ TEMPLATES = {
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "Licensed under CC0 1.0."],
     "all-rights-reserved": ["All rights reserved."],
 }
+#: What follows the notices above in the whole texts of short licenses, and one more license.
+TAILS = {
+    "MIT": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "ISC": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "BSD": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
+}
+for _name, _tail in (("MIT", "MIT"), ("ISC", "ISC"), ("BSD-2-Clause", "BSD"), ("BSD-3-Clause", "BSD")):
+    TEMPLATES[_name] = [*TEMPLATES[_name], f"{TEMPLATES[_name][-1]} {TAILS[_tail]}"]
+TEMPLATES["Zlib"] = [TAILS["Zlib"]]
+for _name in [n for n in TEMPLATES if n != "all-rights-reserved"]:  # the short form by identifier
+    _forms = [f"{_name}-only", f"{_name}-or-later"] if "GPL" in _name else []
+    TEMPLATES[_name] = [*TEMPLATES[_name], *[f"SPDX-License-Identifier: {x}" for x in [_name, *_forms]]]
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*", re.UNICODE)
 SCHEMA = "block int, start long, end long, license string, saved int, reduction double, coverage double, verdict string, missing array<string>, added array<string>"
 _ARROW = [("block", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("license", pa.string()), ("saved", pa.int32()), ("reduction", pa.float64()), ("coverage", pa.float64()), ("verdict", pa.string()), ("missing", pa.list_(pa.string())), ("added", pa.list_(pa.string()))]
@@ -90,12 +99,9 @@ def flat(text: str) -> bytes:
 
 
 def units(text: str) -> list[tuple[int, int]]:
-    """Lines, and the sentences of long lines, as (start, end)."""
+    """The sentences of lines, as (start, end)."""
     out = []
     for line in re.finditer(r"[^\n]+", text):
-        if line.end() - line.start() <= LONG_LINE:
-            out.append((line.start(), line.end()))
-            continue
         at = line.start()
         for stop in re.finditer(r"(?<=[^.\s]{2}[.!?])\s+(?=\S)", line[0]):
             out.append((at, line.start() + stop.start()))
@@ -214,7 +220,8 @@ class Judge:
         if len(between) > most_added(template) or any(window[k] is None for k in between):
             return None
         missing = [w for k, w in enumerate(template) if k not in had]
-        if any(ch.isdigit() for w in missing for ch in w) or (len(template) < SHORT and any(w in self.telling[name] for w in missing)):
+        telling = self.telling[name]
+        if any(ch.isdigit() for w in missing for ch in w) or sum(w in telling for w in missing) > (1 - COVER) * sum(w in telling for w in template) + 1e-9:
             return None  # another version or another name is another license
         return Notice(i, low + first, low + stop, cover, missing, [window[k] for k in between])
 

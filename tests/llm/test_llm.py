@@ -207,6 +207,35 @@ def test_repeated_licenses_of_one_block(spark):
     assert [text[r.start : r.end] for r in got if r.license == "MIT"] == [line[:-1]] * 3
 
 
+def test_edited_licenses_have_a_row_each(spark):
+    """Planted notices with random edits: one row for each, and what was taken out or put in is what is reported."""
+    rng, rows, want = random.Random(23), [], []
+    named = [(n, t) for n, ts in licenses.TEMPLATES.items() for t in ts if len(licenses.words(t)) >= 40]
+    for _ in range(12):
+        parts, planted = [], []
+        for name, text in rng.sample(named, 3):
+            own, cut, put = text.split(), [], []
+            for _ in range(3):
+                k = rng.randrange(5, len(own) - 5)
+                if rng.random() < 0.5 and not re.search(r"[0-9]|^\W*$", own[k]):
+                    cut += licenses.words(own.pop(k))
+                else:
+                    put.append("zq" + rng.choice("abcdef"))
+                    own.insert(k, put[-1])
+            parts.append(textwrap.fill(" ".join(own), 70, break_long_words=False, break_on_hyphens=False))
+            planted.append((name, sorted(cut), sorted(put)))
+        rows.append(("\n\n" + "ouing er the and of this work. " * 20 + "\n\n").join(parts))
+        want.append(planted)
+    got = {}
+    for r in licenses.scan(frame(spark, rows, list(range(len(rows))))).orderBy("doc_id", "start").collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for i, planted in enumerate(want):
+        assert [r.license for r in got[i]] == [n for n, _, _ in planted], i
+        for r, (_, cut, put) in zip(got[i], planted, strict=True):
+            assert set(put) <= set(r.added) and set(cut) <= set(r.missing) | set(r.added) and r.verdict == "modified"
+            assert len(r.added) - len(r.missing) == len(put) - len(cut)
+
+
 # --- 5 ----------------------------------------------------------------------------------------------------------------
 
 
