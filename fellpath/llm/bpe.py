@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
-from .shared import STEP_BYTES, delete_at_exit, mix, shared_dir, small_batches, strings
+from .shared import STEP_BYTES, delete_at_exit, mix, shared_dir, small_batches, strings, written
 
 #: Words of the lexicon, at most.
 LEXICON = 65_536
@@ -423,7 +423,8 @@ def _count_rows(special: list[str]):
 def frequent_words(docs: DataFrame, special: list[str], most: int = LEXICON) -> list[str]:
     """The words of the highest counts over all documents: all words of the least count that at most ``most`` words reach, and two at least."""
     small_batches(docs.sparkSession)
-    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count_rows(special), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").persist()
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count_rows(special), "word string, n long")
+    counts = written(rows.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "words")
     level = F.floor(F.log2("n") * 16).cast("int")
     bars = sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("c")).collect(), key=lambda r: -r["level"])
     total, least = 0, None
@@ -432,9 +433,7 @@ def frequent_words(docs: DataFrame, special: list[str], most: int = LEXICON) ->
         if total > most:
             break
         least = r["level"]
-    found = [] if least is None else [r["word"] for r in counts.where(level >= least).select("word").collect()]
-    counts.unpersist()
-    return found
+    return [] if least is None else [r["word"] for r in counts.where(level >= least).select("word").collect()]
 
 
 def publish(spark: SparkSession, data: bytes, name: str) -> str:
