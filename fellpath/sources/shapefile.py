@@ -1,8 +1,7 @@
 """ESRI shapefiles as tables and as an export format, after the public shapefile and dBASE specifications.
 
 A layer is its .shp with .dbf, .prj and .cpg beside it. The parts are read by Spark (``binaryFile``) and decoded by a task, so that
-any store that Spark reads will do. Export encodes each route feature as a layer of its own on the executors; the files
-are then written through Hadoop's file system, one after another, never all in memory.
+any store that Spark reads will do. Export encodes each route feature as a layer of its own and writes its files, both in tasks.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import RouteError
+from .files import write_files
 
 _PARTS = (".shp", ".dbf", ".prj", ".cpg")
 
@@ -118,7 +118,9 @@ def load_points(spark: SparkSession, path: str, id_field: str = "id") -> tuple[D
         raise RouteError(f"the layer {path} is empty")
     if id_field not in first["attributes"]:
         raise RouteError(f"the layer {path} has no field {id_field}")
-    ids = F.expr(f"cast(cast(element_at(attributes, '{id_field}') as double) as int)")
+    told = F.col("attributes")[id_field]
+    # a numeric field may show 3 as 3.000; anything else that is no whole number stops the load
+    ids = F.when(told.rlike(r"^[+-]?[0-9]+(\.0*)?$"), told.cast("double").cast("int")).otherwise(F.raise_error(F.concat(F.lit(f"{id_field} is no whole number: "), F.coalesce(told, F.lit("null")))).cast("int"))
     return dedupe_points(rows.select(ids.alias("id"), F.col("fid").alias("ord"), "x", "y")), first["crs"]
 
 
@@ -148,13 +150,6 @@ def encode_routes(routes: DataFrame, crs: str | None) -> DataFrame:
 
 
 def write_routes(routes: DataFrame, folder: str, crs: str | None) -> int:
-    """Write every route as a shapefile under folder/<session>/; returns the number of files. Files stream through the driver one by one."""
-    spark = routes.sparkSession
-    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
-    for row in encode_routes(routes, crs).toLocalIterator():
-        target = jvm.org.apache.hadoop.fs.Path(f"{folder}/{row['session_id']}/{row['name']}")
-        out = target.getFileSystem(conf).create(target, True)
-        out.write(bytearray(row["content"]))
-        out.close()
-        n += 1
-    return n
+    """Write every route as a shapefile under folder/<session>/, from tasks; returns the number of files."""
+    files = encode_routes(routes, crs).select(F.concat_ws("/", "session_id", "name").alias("name"), "content")
+    return write_files(routes.sparkSession, files, folder)

@@ -70,6 +70,93 @@ def test_layers(spark, tmp_path):
     assert edges.count() == 3
 
 
+def test_codecs_and_big_files():
+    band = (np.arange(70 * 40).reshape(70, 40) % 57).astype("<u2")
+
+    def lzw(data: bytes) -> bytes:
+        table, codes, w, width = {bytes((i,)): i for i in range(256)}, [(256, 9)], b"", 9
+        size = 258
+        for i in range(len(data)):
+            c = data[i : i + 1]
+            if w + c in table:
+                w += c
+                continue
+            codes.append((table[w], width))
+            table[w + c] = size
+            size += 1
+            if size > (1 << width) - 1:
+                width += 1
+            w = c
+            if size >= 4094:
+                codes.append((table[w], width))
+                codes.append((256, width))
+                table, size, width, w = {bytes((i,)): i for i in range(256)}, 258, 9, b""
+        codes += ([(table[w], width)] if w else []) + [(257, width)]
+        bits = "".join(f"{c:0{n}b}" for c, n in codes)
+        return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+    noise = np.random.default_rng(1).integers(0, 255, 30_000).astype("uint8").tobytes()
+    for raw in (b"a", b"abababababab" * 50, noise, bytes(5000)):
+        assert georaster._unlzw(lzw(raw)) == raw
+    assert georaster._unpack(bytes([254, 7, 1, 8, 9, 128, 0, 5])) == bytes([7, 7, 7, 8, 9, 5])
+
+    def tiff(big: bool, codec: int, strips: list[bytes], bits: int, kind: int, predictor: int = 1) -> bytes:
+        at = 16 if big else 8
+        places = [at + sum(map(len, strips[:i])) for i in range(len(strips))]
+        tags = [(256, [40]), (257, [70]), (258, [bits]), (259, [codec]), (273, places), (277, [1]), (278, [35]), (279, [len(s) for s in strips]), (317, [predictor]), (339, [kind])]
+        body, wide = b"".join(strips), "Q" if big else "I"
+        tail, entries, size = at + len(body), b"", 8 if big else 4
+        extra = b""
+        for tag, values in tags:
+            raw = struct.pack("<" + wide * len(values), *values)
+            if len(raw) > size:
+                place, extra = struct.pack("<" + wide, tail + len(extra)), extra + raw
+            else:
+                place = raw
+            entries += struct.pack("<HH" + wide, tag, 16 if big else 4, len(values)) + place.ljust(size, b"\0")
+        head = struct.pack("<2sHHHQ", b"II", 43, 8, 0, tail + len(extra)) if big else struct.pack("<2sHI", b"II", 42, tail + len(extra))
+        return head + body + extra + struct.pack("<Q" if big else "<H", len(tags)) + entries + bytes(8)
+
+    halves = [band[:35].tobytes(), band[35:].tobytes()]
+    for big in (False, True):
+        assert np.array_equal(georaster.read_band(tiff(big, 5, [lzw(h) for h in halves], 16, 1)), band)
+        assert np.array_equal(georaster.read_band(tiff(big, 1, [halves[0], b""], 16, 1))[:35], band[:35])
+    steps = np.diff(band.astype("<u2"), axis=1, prepend=np.zeros((70, 1), "<u2")).astype("<u2")
+    assert np.array_equal(georaster.read_band(tiff(True, 5, [lzw(steps[:35].tobytes()), lzw(steps[35:].tobytes())], 16, 1, 2)), band)
+    real = (band / 7).astype("<f4")
+    planes = real.astype(">f4").view(np.uint8).reshape(70, 40, 4).transpose(0, 2, 1).reshape(70, 160)
+    coded = np.diff(planes, axis=1, prepend=np.zeros((70, 1), np.uint8)).astype(np.uint8)
+    assert np.array_equal(georaster.read_band(tiff(False, 1, [coded[:35].tobytes(), coded[35:].tobytes()], 32, 3, 3)), real)
+
+
+def test_a_run_over_four_files_equals_the_run_over_one(spark, tmp_path):
+    band = (1 + np.arange(32 * 32).reshape(32, 32) % 7).astype("float32")
+    band[4:28, 16] = -9999
+    meta = RasterMeta((10.0, 0.0, 100.0, 0.0, -10.0, 900.0), 32, 32, -9999.0, "EPSG:32719")
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "all.tif").write_bytes(georaster.write_band(band, meta))
+    pixels = georaster.load_pixels(spark, f"{tmp_path}/one/*.tif")
+    assert georaster.write_pixels(pixels, f"{tmp_path}/four", meta, 16, "float32") == 4
+    assert georaster.load_meta(spark, f"{tmp_path}/four/*.tif") == georaster.load_meta(spark, f"{tmp_path}/one/all.tif") == meta
+    point_layer(tmp_path, "points", [(5, 115.0, 885.0), (1, 405.0, 595.0), (2, 405.0, 885.0)])
+    config = RouteConfig(factors=(8, 4), buffer=6)
+    found = []
+    for name in ("one", "four"):
+        route(spark, f"{tmp_path}/{name}/*.tif", f"{tmp_path}/points.shp", f"{tmp_path}/out_{name}", None, config, session="20260101_000000")
+        found.append(sorted((r.id, r.cost or 0.0, r.wkt) for r in tables.read_routes(spark, f"{tmp_path}/out_{name}/routes").collect()))
+    assert found[0] == found[1] and len(found[0]) == 4
+    odd = RasterMeta((10.0, 0.0, 423.0, 0.0, -10.0, 900.0), 32, 32, -9999.0, "EPSG:32719")
+    (tmp_path / "four" / "odd.tif").write_bytes(georaster.write_band(band, odd))
+    with pytest.raises(RouteError, match="one grid"):
+        georaster.load_meta(spark, f"{tmp_path}/four/*.tif")
+
+
+def test_ids_must_be_whole_numbers(spark, tmp_path):
+    point_layer(tmp_path, "p", [("3.7", 1.0, 2.0)])
+    with pytest.raises(Exception, match="no whole number"):
+        shapefile.load_points(spark, f"{tmp_path}/p.shp")[0].collect()
+
+
 def test_line_round_trip():
     files = shapefile.encode_line([(1.0, 2.0), (3.0, 4.5)], "ruta_final_1_a_2.shp", "WKT")
     assert shapefile.parse_shp(files[".shp"]) == [[[(1.0, 2.0), (3.0, 4.5)]]]
