@@ -95,12 +95,13 @@ def route_name(phase: str, origin: Column, dest: Column, style: str = "short") -
     return F.format_string(f"ruta_{phase}_{'desde_' if style == 'long' else ''}%d_a_%d.shp", origin, dest)
 
 
-def session_name(at: Column, suffix: str = "") -> Column:
-    return F.concat(F.lit("session_"), F.date_format(at, "yyyyMMdd_HHmmss"), F.lit(suffix))
+def session_name(at: Column, origin: Column) -> Column:
+    """Name of a run's session: its time, and the origin (null: all pairs)."""
+    return F.concat(F.date_format(at, "yyyyMMdd_HHmmss"), F.coalesce(F.concat(F.lit("_desde_punto_"), origin.cast("string")), F.lit("_AllToAll")))
 
 
 def point_status(inside: Column, in_raster: Column, on_mask: Column) -> tuple[Column, Column]:
-    """Labels of a point against the polygon and against the raster mask."""
+    """Labels of a point against the polygon and against the raster mask; in_raster is null for a point without a pixel, on_mask without a mask."""
     vector = F.when(inside.isNull(), "N/A").when(inside, "DENTRO").otherwise("FUERA")
-    raster = F.when(~in_raster, "FUERA DE LIMITES").when(on_mask.isNull(), "N/A").when(on_mask, "DENTRO").otherwise("FUERA")
+    raster = F.when(on_mask.isNull(), "N/A").when(in_raster.isNull(), "ERROR").when(~in_raster, "FUERA (Píxel fuera de límites)").when(on_mask, "DENTRO").otherwise("FUERA")
     return vector, raster

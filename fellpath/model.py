@@ -44,8 +44,8 @@ class RouteConfig:
     policy: str = "ignore"
     heuristic: str = "anisotropic"
     plan_b: bool = True
-    #: Cells that one grouped search may hold; larger searches run tiled.
-    kernel_cells: int = 4_000_000
+    #: Cells that one search in a task may hold (some 300 bytes each); larger searches run tiled, and always exactly.
+    kernel_cells: int = 500_000
     tile: int = 256
 
 

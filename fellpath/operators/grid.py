@@ -35,8 +35,9 @@ def neighbours(cells: DataFrame) -> DataFrame:
 
 def edges(valid: DataFrame, dx: float, dy: float) -> DataFrame:
     """Directed edges (r1, c1, r2, c2, dir, w) between neighbouring cells; cells outside the raster simply have no row."""
-    other = valid.select(F.col("row").alias("row2"), F.col("col").alias("col2"), F.col("cost").alias("cost2"))
-    return neighbours(valid).join(other, ["row2", "col2"]).select(F.col("row").alias("r1"), F.col("col").alias("c1"), F.col("row2").alias("r2"), F.col("col2").alias("c2"), X.direction(F.col("dr"), F.col("dc")).alias("dir"), X.edge_cost(F.col("cost"), F.col("cost2"), X.step_length(F.col("dr"), F.col("dc"), dx, dy)).alias("w"))
+    apart = ["src"] if "src" in valid.columns else []  # cells of each source apart
+    other = valid.select(*apart, F.col("row").alias("row2"), F.col("col").alias("col2"), F.col("cost").alias("cost2"))
+    return neighbours(valid).join(other, [*apart, "row2", "col2"]).select(*apart, F.col("row").alias("r1"), F.col("col").alias("c1"), F.col("row2").alias("r2"), F.col("col2").alias("c2"), X.direction(F.col("dr"), F.col("dc")).alias("dir"), X.edge_cost(F.col("cost"), F.col("cost2"), X.step_length(F.col("dr"), F.col("dc"), dx, dy)).alias("w"))
 
 
 def downsample(pixels: DataFrame, factor: int, meta: RasterMeta, nodata: float | None = None, resample: str = "block") -> DataFrame:
@@ -74,4 +75,5 @@ def tiles(pixels: DataFrame, size: int) -> DataFrame:
     near_c = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor((F.col("col") + d) / F.lit(float(size))).cast("int")))
     spread = pixels.withColumn("tile_r", F.explode(near)).withColumn("tile_c", F.explode(near_c))
     own = (F.floor(F.col("row") / F.lit(float(size))) == F.col("tile_r")) & (F.floor(F.col("col") / F.lit(float(size))) == F.col("tile_c"))
-    return spread.groupBy("tile_r", "tile_c").agg(F.sort_array(F.collect_list(F.struct("row", "col", "cost", own.alias("own")))).alias("cells"))
+    keys = ["src", "tile_r", "tile_c"] if "src" in pixels.columns else ["tile_r", "tile_c"]  # cells of each source apart
+    return spread.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("row", "col", "cost", own.alias("own")))).alias("cells"))

@@ -90,11 +90,16 @@ def same_crs(raster: str | None, layer: str | None, what: str) -> None:
         raise RouteError(f"the CRS of the {what} differs from the raster's")
 
 
-def validation_report(points: DataFrame, edges: DataFrame, mask: DataFrame, meta: RasterMeta) -> DataFrame:
-    """(id, x, y, row, col, vector, raster): each point against the polygon and against the rasterised mask."""
-    placed = locate(contains(points, edges), meta).join(mask.select("row", "col", F.lit(True).alias("on_mask")), ["row", "col"], "left")
+def validation_report(points: DataFrame, edges: DataFrame | None, mask: DataFrame | None, meta: RasterMeta) -> DataFrame:
+    """(id, x, y, row, col, vector, raster): each point against the polygon and against the rasterised mask, as far as there are any."""
+    judged = points.withColumn("inside", F.lit(None).cast("boolean")) if edges is None else contains(points, edges)
+    placed = locate(judged, meta)
+    if mask is not None:
+        placed = placed.join(mask.select("row", "col", F.lit(True).alias("on_mask")), ["row", "col"], "left").withColumn("on_mask", F.coalesce("on_mask", F.lit(False)))
+    else:
+        placed = placed.withColumn("on_mask", F.lit(None).cast("boolean"))
     within = F.col("row").between(0, meta.height - 1) & F.col("col").between(0, meta.width - 1)
-    vector, raster = X.point_status(F.col("inside"), within, F.coalesce("on_mask", F.lit(False)))
+    vector, raster = X.point_status(F.col("inside"), within, F.col("on_mask"))
     return placed.select("id", "x", "y", "row", "col", vector.alias("vector"), raster.alias("raster"))
 
 

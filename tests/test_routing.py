@@ -207,6 +207,39 @@ def test_large_rasters_run_tiled_with_the_same_result(spark):
     assert small == tiled and len(small) == 3
 
 
+def test_large_corridors_run_tiled_with_the_same_routes(spark):
+    rng = random.Random(6)
+    grid = [[float(rng.randint(1, 9)) if rng.random() > 0.1 else ND for _ in range(30)] for _ in range(30)]
+    for r, c in ((1, 1), (28, 28), (2, 25)):
+        grid[r][c] = 2.0
+    meta = RasterMeta((1.0, 0.0, 0.0, 0.0, -1.0, 0.0), 30, 30, ND)
+    pts = spark.createDataFrame([(1, 1, 1), (2, 28, 28), (3, 2, 25)], "id int, row int, col int")
+    runs = []
+    for cells in (500_000, 100):
+        config = RouteConfig(origin=1, factors=(6,), buffer=8, kernel_cells=cells, tile=9)
+        runs.append(sorted((r.route, r.status, r.cost, [tuple(p) for p in r.path or []]) for r in R.hierarchical(R.all_pairs(pts), frame(spark, grid), meta, config).collect()))
+    assert runs[0] == runs[1] and len(runs[0]) == 3 and all(r[1] == "ok" for r in runs[0])
+
+
+def test_a_route_that_fails_does_not_stop_the_others(spark, monkeypatch):
+    grid = [[1.0] * 12 for _ in range(12)]
+    meta = RasterMeta((1.0, 0.0, 0.0, 0.0, -1.0, 0.0), 12, 12, ND)
+    pts = spark.createDataFrame([(1, 0, 0), (2, 11, 11), (3, 0, 11)], "id int, row int, col int")
+    cells = spark.createDataFrame([("a", r, c, 1.0, 0, 0, 0, 2) for r in range(3) for c in range(3)] + [("b", r, c, 1.0, 0, 0, None, 2) for r in range(3) for c in range(3)], "route string, row int, col int, cost double, r1 int, c1 int, r2 int, c2 int")
+    got = {r.route: r for r in K.search_routes(cells, 1.0, 1.0).collect()}
+    assert got["a"].found and got["a"].error is None and not got["b"].found and got["b"].error
+    done = R.hierarchical(R.one_to_all_pairs(pts, 1), frame(spark, grid), meta, RouteConfig(origin=1, factors=(4,), buffer=6))
+    assert {r.error for r in S.status_rows(done, "s").collect()} == {None}
+
+
+def test_validation_labels(spark):
+    edges = spark.createDataFrame(square(1, 500000.0, 7999000.0, 900.0), "poly_id int, x1 double, y1 double, x2 double, y2 double")
+    pts = spark.createDataFrame([(1, 500100.0, 7999100.0), (2, 501500.0, 7999100.0), (3, 400000.0, 7999100.0), (4, None, 1.0)], "id int, x double, y double")
+    got = {r.id: (r.vector, r.raster) for r in V.validation_report(pts, edges, V.rasterize_touched(edges, META), META).collect()}
+    assert got == {1: ("DENTRO", "DENTRO"), 2: ("FUERA", "FUERA"), 3: ("FUERA", "FUERA (Píxel fuera de límites)"), 4: ("FUERA", "ERROR")}
+    assert {(r.vector, r.raster) for r in V.validation_report(pts, None, None, META).collect()} == {("N/A", "N/A")}
+
+
 def test_all_pairs_of_fourteen_points(spark):
     pts = spark.range(1, 15).select(F.col("id").cast("int").alias("id"), F.lit(0).alias("row"), F.lit(0).alias("col"))
     assert R.all_pairs(pts).count() == 91 and R.one_to_all_pairs(pts, 5).count() == 13
@@ -218,6 +251,8 @@ def test_sessions(spark):
     done = spark.createDataFrame([("s", "ruta_final_desde_1_a_2.shp", 2), ("s", "ruta_fase1_desde_1_a_3.shp", 3)], "session_id string, id string, dest int")
     pts = spark.createDataFrame([(1,), (2,), (3,)], "id int")
     assert [r.id for r in S.pending(pts, done, "s", 1).collect()] == [3]
+    short = spark.createDataFrame([("s", "ruta_final_1_a_2.shp", 2), ("s", "ruta_final_11_a_3.shp", 3)], "session_id string, id string, dest int")
+    assert [r.id for r in S.pending(pts, short, "s", 1).collect()] == [3]
     assert S.is_incomplete(done, pts, "s", 1)
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from fellpath.model import RasterMeta, RouteConfig, RouteError
-from fellpath.plans.run import route
+from fellpath.plans.run import LOG, route
 from fellpath.sources import georaster, shapefile, tables
 
 META = RasterMeta((10.0, 0.0, 1000.0, 0.0, -10.0, 2000.0), 70, 40, -9999.0, "EPSG:32719")
@@ -179,8 +179,28 @@ def test_whole_run_resumes(spark, tmp_path):
     assert {r.id for r in rows if r.phase == "final"} == {"ruta_final_5_a_1.shp", "ruta_final_5_a_2.shp"}
     made = {p.name for p in (tmp_path / "out" / "20260101_000000").iterdir() if not p.name.startswith(".")}
     assert {"ruta_final_5_a_1.shp", "ruta_final_5_a_1.dbf", "ruta_fase1_5_a_2.shp"} <= made
-    again = route(spark, f"{tmp_path}/cost.tif", f"{tmp_path}/points.shp", out, f"{tmp_path}/none.shp", config, resume=True)
+    again = route(spark, f"{tmp_path}/cost.tif", f"{tmp_path}/points.shp", out, f"{tmp_path}/none.shp", config, resume=True, session="20260101_000000")
     assert again.count() == 0
+    assert "session 20260101_000000: 2 routes to find" in (tmp_path / "out" / LOG).read_text() and "no polygon" in (tmp_path / "out" / LOG).read_text()
+
+
+def test_resume_goes_on_with_incomplete_sessions_of_the_same_kind(spark, tmp_path):
+    band = np.ones((12, 12), dtype="float32")
+    meta = RasterMeta((10.0, 0.0, 0.0, 0.0, -10.0, 120.0), 12, 12, -9999.0, "EPSG:32719")
+    (tmp_path / "cost.tif").write_bytes(georaster.write_band(band, meta))
+    point_layer(tmp_path, "points", [(9, 15.0, 105.0), (5, 105.0, 15.0), (2, 15.0, 15.0)])
+    point_layer(tmp_path, "more", [(9, 15.0, 105.0), (5, 105.0, 15.0), (2, 15.0, 15.0), (1, 55.0, 55.0)])
+    config, out = RouteConfig(factors=(4,), buffer=6), f"{tmp_path}/out"
+    run = lambda layer, **more: route(spark, f"{tmp_path}/cost.tif", f"{tmp_path}/{layer}.shp", out, None, config, shapefiles=False, **more).collect()
+    first = run("points", session="20200101_000000_desde_punto_5")
+    assert [(r.dest, r.status, r.error) for r in first] == [(9, "ok", None), (2, "ok", None)]  # in the order of the file
+    run("points", session="20300101_000000_AllToAll", everyone=True)
+    grown = run("more", resume=True)  # the later session is of another kind; the last of this kind lacks a point
+    assert [(r.session_id, r.dest) for r in grown] == [("20200101_000000_desde_punto_5", 1)]
+    new = run("more", resume=True)
+    assert len(new) == 3 and {r.session_id[8:9] for r in new} == {"_"} and new[0].session_id > "20250101"
+    pairs = run("more", resume=True, everyone=True)
+    assert [(r.origin, r.dest) for r in pairs] == [(1, 9), (1, 5), (1, 2)]  # what the later session of all pairs lacks
 
 
 def test_entry_and_queries(spark):
