@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..model import RouteConfig
+from ..model import RasterMeta, RouteConfig
 from ..operators import corridor as C
 from ..operators import grid as G
 from ..operators import kernel as K
@@ -29,7 +29,7 @@ _RASTER = """raster AS (
 ), valid AS (SELECT row, col, cost FROM raster WHERE NOT nodata)"""
 _POINTS = """points AS (
   SELECT id, id AS ord, row, col, 30.0::DOUBLE * (col + 0.5::DOUBLE) + 500000.0::DOUBLE AS x, -30.0::DOUBLE * (row + 0.5::DOUBLE) + 8000000.0::DOUBLE AS y
-  FROM (SELECT CAST(s_suppkey AS INT) AS id, CAST((s_suppkey * 29 + 3) % 48 AS INT) AS row, CAST((s_suppkey * 37 + 5) % 64 AS INT) AS col FROM supplier WHERE s_suppkey < 10)
+  FROM (SELECT CAST(s_suppkey AS INT) AS id, CAST((s_suppkey * 29 + 3) % 48 AS INT) AS row, CAST((s_suppkey * 37 + 5) % 64 AS INT) AS col FROM supplier)
 )"""
 _OFFSETS = "offsets(dr, dc) AS (VALUES " + ", ".join(f"({r}, {c})" for r, c in X.OFFSETS) + ")"
 
@@ -77,9 +77,12 @@ def query(sql: str | None = None):
 # --- scans, projections, edges ----------------------------------------------------------------------------------------
 
 
-@query(f"WITH {_RASTER} SELECT row, col, cost FROM valid")
+@query(f"WITH {_RASTER} SELECT row, col, cost FROM valid WHERE (row * 64 + col) % 97 > 2")
 def q_pixels_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.valid_pixels(T.valid(spark, sf_dir))
+    """Passable pixels of a raster with nodata, NaN and infinite cells."""
+    at = (F.col("row") * 64 + F.col("col")) % 97
+    odd = F.when(F.col("nodata"), -9999.0).when(at == 0, float("nan")).when(at == 1, float("inf")).when(at == 2, float("-inf")).otherwise(F.col("cost"))
+    return G.valid_pixels(T.raster(spark, sf_dir).select("row", "col", odd.alias("cost")), -9999.0)
 
 
 @query(f"WITH {_RASTER}, p AS (SELECT CASE WHEN nodata THEN -9999.0::DOUBLE ELSE cost END AS cost FROM raster) SELECT count(*) AS n, count(*) FILTER (cost <> -9999) AS n_valid, min(cost) FILTER (cost <> -9999) AS min_cost, max(cost) FILTER (cost <> -9999) AS max_cost, avg(cost) FILTER (cost <> -9999) AS avg_cost FROM p")
@@ -281,7 +284,7 @@ def q_path_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chased(spark, sf_dir)
 
 
-@query(f"{_CHASE} SELECT dest, CAST(count(*) AS INT) AS n, 'LINESTRING (' || string_agg(CAST(30 * col + 500015 AS VARCHAR) || ' ' || CAST(7999985 - 30 * row AS VARCHAR), ', ' ORDER BY seq) || ')' AS wkt FROM path GROUP BY dest")
+@query(f"{_CHASE} SELECT dest, CAST(count(*) AS INT) AS n, CASE WHEN count(*) >= 2 THEN 'LINESTRING (' || string_agg(CAST(30 * col + 500015 AS VARCHAR) || ' ' || CAST(7999985 - 30 * row AS VARCHAR), ', ' ORDER BY seq) || ')' END AS wkt FROM path GROUP BY dest")
 def q_path_wkt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The paths as WKT; pixel centres are whole numbers here and are printed as such."""
     out = P.lines(_chased(spark, sf_dir), META, "dest")
@@ -349,11 +352,12 @@ def _config(**changes) -> RouteConfig:
     return RouteConfig(origin=T.ORIGIN, factors=T.FACTORS, buffer=T.RADIUS, **changes)
 
 
-def _hier(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+def _hier(spark: SparkSession, sf_dir: str, mode: str, everyone: bool = False) -> DataFrame:
     cells = T.raster(spark, sf_dir).select("row", "col", "cost", "nodata")
     raw = cut(cells.select("row", "col", "cost"))
     allowed = cut(cells.where("not nodata").select("row", "col"))
-    pairs = R.one_to_all_pairs(T.points(spark, sf_dir), T.ORIGIN)
+    points = T.points(spark, sf_dir)
+    pairs = R.all_pairs(points) if everyone else R.one_to_all_pairs(points, T.ORIGIN)
     return R.hierarchical(pairs, raw, META, _config(mode=mode), allowed)
 
 
@@ -409,11 +413,53 @@ def q_plan_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("dest", "cost", "plan_b")
 
 
-@query(None)
+def _sql_level(f: int) -> str:
+    """Coarse search at factor f: cells whose top left pixel is allowed and the start's own, their field, and the predecessors."""
+    low, res = f"low{f}", 30.0 * f
+    return f"""{low} AS (
+  SELECT l.row, l.col, l.cost FROM (SELECT CAST(row // {f} AS INT) AS row, CAST(col // {f} AS INT) AS col, avg(cost) AS cost FROM raster GROUP BY 1, 2) l
+  WHERE EXISTS (SELECT 1 FROM valid v WHERE v.row = l.row * {f} AND v.col = l.col * {f}) OR EXISTS (SELECT 1 FROM start s WHERE s.row // {f} = l.row AND s.col // {f} = l.col)
+), {_sql_edges(low, res, res, f"ledges{f}")},
+lstart{f} AS (SELECT src, CAST(row // {f} AS INT) AS row, CAST(col // {f} AS INT) AS col FROM start),
+{_sql_field(f"lstart{f}", f"ledges{f}", f"lfield{f}")},
+lpred{f} AS (
+  SELECT f2.row, f2.col, min(e.dir) AS dir FROM ledges{f} e JOIN lfield{f} f1 ON f1.row = e.r1 AND f1.col = e.c1 JOIN lfield{f} f2 ON f2.row = e.r2 AND f2.col = e.c2
+  WHERE f1.g + e.w = f2.g AND NOT EXISTS (SELECT 1 FROM lstart{f} s WHERE s.row = f2.row AND s.col = f2.col) GROUP BY 1, 2
+), lchase{f} AS (
+  SELECT p.id AS dest, CAST(p.row // {f} AS INT) AS row, CAST(p.col // {f} AS INT) AS col FROM points p JOIN chosen c ON c.dest = p.id WHERE c.factor = {f}
+  UNION
+  SELECT c.dest, CAST(c.row - (d.dir // 3 - 1) AS INT), CAST(c.col - (d.dir % 3 - 1) AS INT) FROM lchase{f} c JOIN lpred{f} d ON d.row = c.row AND d.col = c.col
+)"""
+
+
+def _sql_routes() -> str:
+    """Hierarchical routes with all factors and plan B in one statement: the parts of _HIER, with the first factor that has a route."""
+    levels = [_sql_level(f) for f in T.FACTORS]
+    fields = [x.split(", lchase")[0] for x in levels]
+    chases = ["lchase" + x.split(", lchase", 1)[1] for x in levels]
+    reached = " UNION ALL ".join(f"SELECT p.id AS dest, {k} AS k, {f} AS factor FROM points p JOIN lfield{f} l ON l.row = p.row // {f} AND l.col = p.col // {f}" for k, f in enumerate(T.FACTORS))
+    discs = " UNION ALL ".join(f"SELECT dest, row * {f} + {f // 2} AS r, col * {f} + {f // 2} AS c FROM lchase{f}" for f in T.FACTORS)
+    tail = _HIER[_HIER.index("hcells AS (") : _HIER.rindex("SELECT p.id AS dest")].rstrip()
+    return f"""WITH RECURSIVE {_RASTER}, {_POINTS}, {_OFFSETS}, {_START}, {", ".join(fields)},
+chosen AS (SELECT dest, CAST(arg_min(factor, k) AS INT) AS factor FROM ({reached}) WHERE dest <> {T.ORIGIN} GROUP BY dest),
+{", ".join(chases)},
+band AS (SELECT DISTINCT d.dest, v.row, v.col, v.cost FROM ({discs}) d JOIN valid v ON (v.row - d.r) * (v.row - d.r) + (v.col - d.c) * (v.col - d.c) < {T.RADIUS**2}),
+{tail}, {_CELLS}, {_sql_edges("cells", DX, DY)}, {_sql_field("start")}
+SELECT {T.ORIGIN} AS origin, p.id AS dest, CASE WHEN coalesce(h.g, f.g) IS NULL THEN 'unreachable' ELSE 'ok' END AS status, coalesce(c.factor, 0) AS factor, h.g IS NULL AND f.g IS NOT NULL AS plan_b, coalesce(h.g, f.g) AS cost
+FROM points p LEFT JOIN chosen c ON c.dest = p.id LEFT JOIN hfield h ON h.dest = p.id AND h.row = p.row AND h.col = p.col LEFT JOIN field f ON f.row = p.row AND f.col = p.col WHERE p.id <> {T.ORIGIN}"""
+
+
+@query(_sql_routes())
 def q_hier_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full hierarchical run (factors 16, 8, 4, plan B) with status and length of every route."""
+    """Full hierarchical run (factors 16, 8, 4, plan B) with the status of every route."""
     out = _hier(spark, sf_dir, "exact")
-    return out.select("origin", "dest", "status", "factor", "plan_b", "cost", F.size("path").alias("n"))
+    return out.select("origin", "dest", "status", F.coalesce("factor", F.lit(0)).alias("factor"), "plan_b", "cost")
+
+
+@query(None)
+def q_hier_all_to_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for all pairs: no SQL, as DuckDB would need a field for each pair."""
+    return _hier(spark, sf_dir, "exact", everyone=True).select("origin", "dest", "status", "factor", "plan_b", "cost", F.size("path").alias("n"))
 
 
 @query(f"{_FIELD} SELECT p.id AS dest, round(f.g, 6) AS cost FROM points p LEFT JOIN field f ON f.row = p.row AND f.col = p.col WHERE p.id <> {T.ORIGIN}")
@@ -451,6 +497,43 @@ def q_all_to_all_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routes.join(found, "route", "left").select("origin", "dest", "cost")
 
 
+# --- a raster that grows with the tables ------------------------------------------------------------------------------
+
+_GROWN = """side AS (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS n FROM lineitem),
+valid AS (
+  SELECT CAST((l_orderkey * 7919 + l_partkey * 31) % n AS INT) AS row, CAST((l_partkey * 104729 + l_orderkey * 13 + l_suppkey * 3 + l_linenumber) % n AS INT) AS col,
+         CAST(1 + SUM(CAST(l_quantity AS BIGINT)) % 9 AS DOUBLE) AS cost FROM lineitem, side GROUP BY 1, 2
+), points AS (SELECT CAST(s_suppkey AS INT) AS id, CAST((s_suppkey * 7001 + 11) % n AS INT) AS row, CAST((s_suppkey * 9001 + 7) % n AS INT) AS col FROM supplier, side)"""
+_GROWN_START = "start AS (SELECT 1 AS src, row, col FROM valid ORDER BY row, col LIMIT 1)"
+
+
+def _first_cell(cells: DataFrame) -> DataFrame:
+    return cells.agg(F.min(F.struct("row", "col")).alias("c")).select(F.lit(1).alias("src"), "c.row", "c.col")
+
+
+@query(f"WITH {_GROWN}, {_OFFSETS}, {_sql_edges('valid', DX, DY)} SELECT r1, c1, count(*) AS n, min(w) AS least, max(w) AS most FROM edges GROUP BY 1, 2")
+def q_grown_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number, least and greatest weight of every cell's edges, on the raster that grows."""
+    cells, _ = T.grown(spark, sf_dir)
+    return G.edges(cut(cells), DX, DY).groupBy("r1", "c1").agg(F.count(F.lit(1)).alias("n"), F.min("w").alias("least"), F.max("w").alias("most"))
+
+
+@query(f"WITH {_GROWN} SELECT CAST(v.row // 8 AS INT) AS row, CAST(v.col // 8 AS INT) AS col, avg(cost) AS cost FROM valid v, side WHERE v.row // 8 < n // 8 AND v.col // 8 < n // 8 GROUP BY 1, 2")
+def q_grown_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, n = T.grown(spark, sf_dir)
+    return G.downsample(cells, 8, RasterMeta(META.transform, n, n))
+
+
+@query(f"WITH RECURSIVE {_GROWN}, {_OFFSETS}, {_sql_edges('valid', DX, DY)}, {_GROWN_START}, {_sql_field('start')} SELECT p.id AS dest, f.g AS cost FROM points p LEFT JOIN field f ON f.row = p.row AND f.col = p.col")
+def q_grown_one_to_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least cost from the first cell of the growing raster to every supplier: one tiled field serves them all."""
+    cells, n = T.grown(spark, sf_dir)
+    cells = cut(cells)
+    field = K.tiled_field(cells, _first_cell(cells), DX, DY, 128)
+    points = T.grown_points(spark, sf_dir, n).select(F.col("id").alias("dest"), "row", "col")
+    return points.join(field.select("row", "col", F.col("g").alias("cost")), ["row", "col"], "left").select("dest", "cost")
+
+
 # --- sessions and names -----------------------------------------------------------------------------------------------
 
 
@@ -459,7 +542,7 @@ def q_latest_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.latest_session(spark.createDataFrame(T.SESSIONS, "session_id string"))
 
 
-@query(f"WITH {_POINTS}, f(session_id, id, dest) AS ({_values(T.FINISHED)}) SELECT p.id FROM points p ANTI JOIN (SELECT dest FROM f WHERE session_id = '20250917_000950_AllToAll' AND starts_with(id, 'ruta_final_desde_{T.ORIGIN}_a_') AND ends_with(id, '.shp')) d ON p.id = d.dest WHERE p.id <> {T.ORIGIN}")
+@query(f"WITH {_POINTS}, f(session_id, id, dest) AS ({_values(T.FINISHED)}) SELECT p.id FROM points p ANTI JOIN (SELECT dest FROM f WHERE session_id = '20310406_070809_AllToAll' AND starts_with(id, 'ruta_final_desde_{T.ORIGIN}_a_') AND ends_with(id, '.shp')) d ON p.id = d.dest WHERE p.id <> {T.ORIGIN}")
 def q_resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = spark.createDataFrame(T.FINISHED, "session_id string, id string, dest int")
     session = S.latest_session(spark.createDataFrame(T.SESSIONS, "session_id string")).first()["session_id"]
