@@ -454,15 +454,21 @@ def publish(spark: SparkSession, data: bytes, name: str) -> str:
 _coders: dict[tuple, Coder] = {}
 
 
-def coder(tokenizer_path: str, lexicon: str | None) -> Coder:
-    """One coder for each worker process."""
-    key = (tokenizer_path, lexicon)
+def coder(tokenizer: str, lexicon: str | None) -> Coder:
+    """One coder for each worker process, from published files."""
+    key = (tokenizer, lexicon)
     if key not in _coders:
         _coders.clear()
-        _coders[key] = Coder(Tokenizer.read(tokenizer_path), Lexicon.map(SparkFiles.get(lexicon)) if lexicon else None)
+        _coders[key] = Coder(Tokenizer.read(SparkFiles.get(tokenizer)), Lexicon.map(SparkFiles.get(lexicon)) if lexicon else None)
     return _coders[key]
 
 
+def published(spark: SparkSession, tokenizer_path: str) -> str:
+    """The tokenizer's file, which only the driver needs to see, handed to every executor."""
+    with open(tokenizer_path, "rb") as f:
+        return publish(spark, f.read(), "tokenizer")
+
+
 def build_lexicon(docs: DataFrame, tokenizer_path: str, most: int = LEXICON) -> str | None:
     """Count, compile and publish the lexicon of docs; None if no word is frequent."""
     tokenizer = Tokenizer.read(tokenizer_path)
@@ -472,9 +478,9 @@ def build_lexicon(docs: DataFrame, tokenizer_path: str, most: int = LEXICON) ->
     return publish(docs.sparkSession, compile_lexicon([w.encode() for w in words], tokenizer.merge), "lexicon")
 
 
-def _encode_rows(tokenizer_path: str, lexicon: str | None, render):
+def _encode_rows(tokenizer: str, lexicon: str | None, render):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(tokenizer_path, lexicon)
+        own = coder(tokenizer, lexicon)
         for batch, texts in _batches(batches, "text"):
             yield render(own, batch, *own.encode(texts))
 
@@ -491,14 +497,15 @@ def encode(docs: DataFrame, tokenizer_path: str, lexicon: str | None = None, ren
     small_batches(docs.sparkSession)
     docs = docs.drop("ids").withColumn("text", F.col("text").cast("string"))
     schema = schema or ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "ids array<int>"])
-    return docs.mapInArrow(_encode_rows(tokenizer_path, lexicon, render), schema)
+    return docs.mapInArrow(_encode_rows(published(docs.sparkSession, tokenizer_path), lexicon, render), schema)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """encoded (any columns, ids among them) with decoded; a column of that name is replaced. Null ids decode to ''."""
+    tokenizer = published(encoded.sparkSession, tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(tokenizer_path, None)
+        own = coder(tokenizer, None)
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index("ids"))
             size = np.asarray(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
