@@ -26,6 +26,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model grades above 0 go; the model is fitted on the labelled documents among docs. A null text counts as clean."""
     model = toxicity.fit(docs, load(spark, sf_dir, "labels", "doc_id", "toxic"))
     return toxicity.score(docs.select(*COLUMNS), model).where("not is_toxic").select(*COLUMNS)
 
@@ -36,6 +37,7 @@ def row_key():
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the row with the smallest id (null is the smallest) stays; rows without words all stay."""
     rows = docs.select(*COLUMNS)
     if rows.groupBy(id_key().alias("_key")).count().where("count > 1").isEmpty():
         classes = neardup.near_duplicates(docs.select("doc_id", "text"))
@@ -54,12 +56,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text holds a benchmark item go; items and texts without words match nothing."""
     hits = contamination.contaminated(docs.select(row_key().alias("doc_id"), "text"), load(spark, sf_dir, "benchmark", "item_id", "text"))
     gone = written(hits.select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
     return docs.select(*COLUMNS).join(gone, row_key() == F.col("_key"), "left_anti")
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data become <KIND>, and n_chars of such rows the length of the new text; other rows stay as they are."""
     found = pii.spans(docs.select(*COLUMNS), pii.fit(docs))
     any_span = F.lit(False)
     for k in pii.KINDS:
@@ -69,6 +73,7 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """(doc_id, lang, source, ids, n_tokens) of every row; a null text has no ids."""
     if tokenizer is None:
         import public_tokenizers
 
