@@ -12,10 +12,11 @@ from ..operators import grid as G
 from ..operators import kernel as K
 from ..operators import paths as P
 from ..operators import vector as V
+from ..sources import georaster, shapefile, tables
 from . import fixture as T
 from . import routing as R
 from . import session as S
-from .cluster import cut
+from .cluster import cut, scratch
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -534,6 +535,55 @@ def q_grown_one_to_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.join(field.select("row", "col", F.col("g").alias("cost")), ["row", "col"], "left").select("dest", "cost")
 
 
+# --- files written and read again -------------------------------------------------------------------------------------
+
+
+def _files_meta() -> RasterMeta:
+    return RasterMeta(META.transform, META.height, META.width, -9999.0, META.crs)
+
+
+def _raster_files(spark: SparkSession, sf_dir: str) -> str:
+    """The fixture raster as GeoTIFF files of 20 x 20 pixels; returns their pattern."""
+    cells = T.raster(spark, sf_dir).select("row", "col", F.when(F.col("nodata"), -9999.0).otherwise(F.col("cost")).alias("cost"))
+    folder = scratch(spark, "raster")
+    georaster.write_pixels(cells, folder, _files_meta(), 20)
+    return f"{folder}/*.tif"
+
+
+@query(f"WITH {_RASTER} SELECT row, col, cost FROM valid")
+def q_raster_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raster written as files of one grid and read again."""
+    path = _raster_files(spark, sf_dir)
+    meta = georaster.load_meta(spark, path)
+    return G.valid_pixels(georaster.load_pixels(spark, path, meta), meta.nodata)
+
+
+@query("SELECT 30.0::DOUBLE AS a, 500000.0::DOUBLE AS c, -30.0::DOUBLE AS e, 8000000.0::DOUBLE AS f, CAST(48 AS INT) AS height, CAST(64 AS INT) AS width, -9999.0::DOUBLE AS nodata, 'EPSG:32719' AS crs")
+def q_raster_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of the raster from the headers of its files."""
+    m = georaster.load_meta(spark, _raster_files(spark, sf_dir))
+    return spark.createDataFrame([(m.transform[0], m.transform[2], m.transform[4], m.transform[5], m.height, m.width, m.nodata, m.crs)], "a double, c double, e double, f double, height int, width int, nodata double, crs string")
+
+
+@query(f"{_CHASE} SELECT printf('ruta_final_%d_a_%d.shp', {T.ORIGIN}, dest) AS id, seq, 30.0::DOUBLE * (col + 0.5::DOUBLE) + 500000.0::DOUBLE AS x, -30.0::DOUBLE * (row + 0.5::DOUBLE) + 8000000.0::DOUBLE AS y FROM path WHERE dest IN (SELECT dest FROM path GROUP BY dest HAVING count(*) >= 2)")
+def q_route_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes written as shapefiles of a session, listed and read again."""
+    lines = P.lines(_chased(spark, sf_dir), META, "dest").where("n >= 2")
+    routes = lines.select(F.lit("20310405_101112").alias("session_id"), X.route_name("final", F.lit(T.ORIGIN), F.col("dest")).alias("id"), "geom")
+    folder = scratch(spark, "layers")
+    shapefile.write_routes(routes, folder, META.crs)
+    rows = shapefile.load_layer(spark, f"{folder}/20310405_101112/*.shp")
+    return rows.select(F.col("attributes")["id"].alias("id"), "seq", "x", "y")
+
+
+@query(f"WITH f(session_id, id, dest) AS ({_values(T.FINISHED)}) SELECT session_id, count(*) AS n FROM f GROUP BY session_id")
+def q_session_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes written by session, and the sessions listed from the table."""
+    folder = scratch(spark, "sessions")
+    tables.write_routes(spark.createDataFrame(T.FINISHED, "session_id string, id string, dest int"), folder)
+    return tables.sessions(spark, folder).join(tables.read_routes(spark, folder), "session_id").groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- sessions and names -----------------------------------------------------------------------------------------------
 
 
