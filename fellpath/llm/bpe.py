@@ -55,12 +55,17 @@ def byte_letters() -> list[str]:
 
 @dataclass(frozen=True)
 class Tokenizer:
-    """ranks: id and rank of each merge by the pair of ids; start: id of each byte; pieces: bytes of each id; special: ids by text."""
+    """ranks: rank and id of each merge by the pair of ids; start: id of each byte; pieces: bytes of each id; special: ids by text.
+
+    codes and made are the merges again for short words: rank by the pair as one number, and id by rank.
+    """
 
     ranks: dict[tuple[int, int], tuple[int, int]]
     start: list[int]
     pieces: list[bytes]
     special: dict[str, int]
+    codes: dict[int, int]
+    made: list[int]
 
     @staticmethod
     def read(path: str) -> Tokenizer:
@@ -75,31 +80,28 @@ class Tokenizer:
             pieces[i] = bytes(back[c] for c in word) if all(c in back for c in word) else word.encode()
         for word, i in special.items():
             pieces[i] = word.encode()
-        return Tokenizer({(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}, [vocab[c] for c in letters], pieces, special)
+        ranks = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        return Tokenizer(ranks, [vocab[c] for c in letters], pieces, special, {a << 32 | b: rank for (a, b), (rank, _) in ranks.items()}, [vocab[a + b] for a, b in pairs])
 
     def merge(self, word: bytes) -> tuple[int, ...]:
-        """The ids of one pre-token: the pair of least rank is merged wherever it stands, until no pair has a rank."""
-        ids = [self.start[b] for b in word]
-        ranks = self.ranks
+        """The ids of one pre-token: the first pair of least rank is merged, until no pair has a rank."""
+        start, rank, made = self.start, self.codes.get, self.made
+        ids = [start[b] for b in word]
         if len(word) > 200:
             return self._merge_long(ids)
-        while len(ids) > 1:
-            best = None
-            for pair in zip(ids, ids[1:], strict=False):
-                found = ranks.get(pair)
-                if found is not None and (best is None or found[0] < best[0]):
-                    best, which = found, pair
-            if best is None:
+        none = len(made)
+        ranks = [rank(a << 32 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            least = min(ranks)
+            if least == none:
                 break
-            out, i, last = [], 0, len(ids) - 1
-            while i <= last:
-                if i < last and ids[i] == which[0] and ids[i + 1] == which[1]:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            i = ranks.index(least)
+            ids[i] = made[least]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank(ids[i - 1] << 32 | ids[i], none)
+            if i < len(ranks):
+                ranks[i] = rank(ids[i] << 32 | ids[i + 1], none)
         return tuple(ids)
 
     def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
