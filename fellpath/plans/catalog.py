@@ -247,9 +247,10 @@ def q_distance_field_relax(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_FIELD} SELECT {T.ORIGIN} AS origin, p.id AS dest, f.g AS cost FROM points p LEFT JOIN field f ON f.row = p.row AND f.col = p.col WHERE p.id <> {T.ORIGIN}")
 def q_one_to_all_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least cost from the origin to every other point; null where it cannot be reached."""
-    pairs = R.one_to_all_pairs(T.points(spark, sf_dir), T.ORIGIN)
-    _, field = _field(spark, sf_dir)
-    return pairs.join(field.select(F.col("row").alias("r2"), F.col("col").alias("c2"), F.col("g").alias("cost")), ["r2", "c2"], "left").select("origin", "dest", "cost")
+    routes = R.named(R.one_to_all_pairs(T.points(spark, sf_dir), T.ORIGIN))
+    cells = cut(T.raster(spark, sf_dir))
+    found = R.full_search(routes, cells.select("row", "col", "cost"), cells.where("not nodata").select("row", "col", "cost"), META, _config())
+    return routes.join(found, "route", "left").select("origin", "dest", "cost")
 
 
 _PRED = f"""{_FIELD}, pred AS (
