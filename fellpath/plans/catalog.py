@@ -604,3 +604,26 @@ def q_resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_route_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = R.all_pairs(T.points(spark, sf_dir))
     return p.select(X.route_name("final", F.col("origin"), F.col("dest")).alias("final_name"), X.route_name("fase1", F.col("origin"), F.col("dest"), "long").alias("coarse_name"))
+
+
+@query(f"WITH {_POINTS} SELECT id, '20310405_101112_desde_punto_' || CAST(id AS VARCHAR) AS one, '20310405_101112_AllToAll' AS everyone FROM points")
+def q_session_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the sessions of a run from each point, and of a run over all pairs."""
+    at = F.to_timestamp(F.lit("2031-04-05 10:11:12"))
+    return T.points(spark, sf_dir).select("id", X.session_name(at, F.col("id")).alias("one"), X.session_name(at, F.lit(None)).alias("everyone"))
+
+
+_LABELS = T.REPEATED + [(11, 6, 400000.0, 7999000.0), (12, 7, 501000.0, 9000000.0)]
+
+
+@query(
+    f"""WITH points(id, ord, x, y) AS (SELECT column1 * 100 + column2, column2, column3, column4 FROM ({_values(_LABELS)}) v(column1, column2, column3, column4)), {_POLYGON}, {_INSIDE}, {_TOUCHED},
+placed AS (SELECT *, CAST(trunc((x - 500000.0::DOUBLE) / 30.0::DOUBLE) AS INT) AS col, CAST(trunc((8000000.0::DOUBLE - y) / 30.0::DOUBLE) AS INT) AS row FROM points)
+SELECT p.id, CASE WHEN i.inside THEN 'DENTRO' ELSE 'FUERA' END AS vector,
+       CASE WHEN NOT (p.row BETWEEN 0 AND 47 AND p.col BETWEEN 0 AND 63) THEN 'FUERA (Píxel fuera de límites)' WHEN t.row IS NOT NULL THEN 'DENTRO' ELSE 'FUERA' END AS raster
+FROM placed p JOIN inside i USING (id) LEFT JOIN touched t ON t.row = p.row AND t.col = p.col"""
+)
+def q_validate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of points inside, outside and beyond the raster."""
+    points = spark.createDataFrame([(i * 100 + o, o, x, y) for i, o, x, y in _LABELS], "id int, ord int, x double, y double")
+    return V.validation_report(points, T.polygon(spark), V.rasterize_touched(T.polygon(spark), META), META).select("id", "vector", "raster")
