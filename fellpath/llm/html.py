@@ -17,6 +17,8 @@ pages of a host were aligned (copies count once: a page is known by the first he
   text; of what stands outside only headings before it stay;
 * a weak class word (``related``, ``legal``, ...) inside an article counts only for positions that all pages have.
 
+A main part inside an element that is boilerplate by its class words only (``no-sidebar``) counts where a page has no other.
+
 Names decide only what no alignment can: the elements of the page's frame (nav, footer, form, ...), telling class words
 (ads and reader comments differ from page to page as articles do), and ``article`` and ``main`` themselves.
 
@@ -92,13 +94,14 @@ ROOT = _digest("page")
 class Frame:
     """An open element: its position, what it is, and sums over its texts."""
 
-    __slots__ = ("block", "blocks", "boiler", "chars", "depth", "header", "heading", "holder", "label", "links", "main", "node", "order", "ranks", "tag", "weak")
+    __slots__ = ("block", "blocks", "boiler", "chars", "depth", "header", "heading", "hidden", "holder", "label", "links", "main", "node", "order", "ranks", "soft", "tag", "weak")
 
     def __init__(self, tag: str, label: str, node: int, up: Frame | None, block: bool = True):
         self.tag, self.label, self.node, self.block = tag, label, node, block
         self.depth, self.blocks = (up.depth + 1, up.blocks + block) if up else (0, 1)
         self.holder = self if block else up.holder  # the innermost block element
         self.boiler, self.main, self.header, self.heading, self.weak = False, False, False, False, None
+        self.soft = self.hidden = False  # boilerplate by words only; a main part inside of that
         self.chars = self.links = self.order = 0
         self.ranks: dict[int, list[int]] = {}
 
@@ -234,7 +237,8 @@ def read(page: str) -> tuple[list[Block], dict[int, Position]]:
             continue
         label, words, role = _described(tag, attributes)
         block = tag in BLOCKS
-        named = tag not in ("html", "body")
+        own = tag in ("article", "main") or role in ("main", "article")
+        named = tag not in ("html", "body", "main") and role != "main"
         boiler = role in BOILERPLATE_ROLES or (named and bool(words & BOILERPLATE_WORDS))
         up = stack[-1]
         if not block and not boiler and (up.main or not words & (WEAK_WORDS | HEADER_WORDS)):
@@ -251,10 +255,14 @@ def read(page: str) -> tuple[list[Block], dict[int, Position]]:
                 close(min(over))
         up = stack[-1]
         frame = Frame(tag, label, _mixed(up.node, _digest(label)), up, block)
-        frame.main = up.main or ((tag in ("article", "main") or role in ("main", "article")) and not up.boiler and not boiler)
+        hidden = own and not boiler and up.boiler and up.soft  # <div class="no-sidebar"><article>
+        frame.main = up.main or (own and not boiler and (not up.boiler or hidden))
+        frame.hidden = up.hidden or (hidden and not up.main)
         head = tag == "header" or (named and bool(words & HEADER_WORDS) and tag not in HEADINGS)
         weak = named and bool(words & WEAK_WORDS) and tag not in HEADINGS
-        frame.boiler = up.boiler or boiler or (tag in BOILERPLATE_TAGS and tag != "header") or (not up.main and (head or weak))
+        by_tag = role in BOILERPLATE_ROLES or (tag in BOILERPLATE_TAGS and tag != "header") or (tag == "header" and not up.main)
+        frame.boiler = (up.boiler and not hidden) or boiler or by_tag or (not up.main and (head or weak) and not hidden)
+        frame.soft = frame.boiler and not by_tag and (up.soft or not up.boiler)
         frame.header = up.header or (up.main and head)
         frame.weak = up.weak or (frame if up.main and weak else None)
         frame.heading = up.heading or tag in HEADINGS
@@ -358,7 +366,8 @@ def extract(page: str | None, main: int = 0, gone: frozenset[int] | set[int] = f
     if not page:
         return ""
     blocks, positions = read(page)
-    marked = any(b.frame.main for b in blocks)
+    shown = any(b.frame.main and not b.frame.hidden for b in blocks)
+    marked = shown or any(b.frame.main for b in blocks)
     inside: set[int] = set()
     if main and not marked and main in positions:
         inside = {main}
@@ -368,7 +377,7 @@ def extract(page: str | None, main: int = 0, gone: frozenset[int] | set[int] = f
     out, begun = [], not inside
     for b in blocks:
         f = b.frame
-        if marked and not f.main:
+        if marked and not f.main or shown and f.hidden:
             continue
         if f.node in gone or (gone and b.key in gone):
             continue

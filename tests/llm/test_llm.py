@@ -343,6 +343,13 @@ def test_template_texts_equal_brute_force(spark):
     assert [r.text for r in html.main_text(pages).orderBy("page_id").collect()] == want
 
 
+def test_main_parts_inside_telling_words():
+    assert html.extract('<div class="layout no-sidebar"><nav>x</nav><article><h1>T</h1><p>text</p></article></div>') == "T\ntext"
+    assert html.extract('<main class="with-sidebar"><p>text</p></main><div class=sidebar><article>other</article></div>') == "text"
+    assert html.extract("<nav><article>no</article></nav><p>text</p>") == "text"
+    assert html.extract('<div class="comments"><article class="comment">me</article></div><article>text</article>') == "text"
+
+
 def test_expressions_of_wrappers():
     def wrapper(*pages: str) -> str:
         held: dict = {}
