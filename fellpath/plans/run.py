@@ -22,7 +22,7 @@ log = logging.getLogger("fellpath")
 
 
 #: Name of the persistent log in the output folder.
-LOG = "registro_maestro_procesamiento.log"
+LOG = "fellpath.log"
 
 
 @contextmanager
