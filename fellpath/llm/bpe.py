@@ -57,7 +57,8 @@ def byte_letters() -> list[str]:
 class Tokenizer:
     """ranks: rank and id of each merge by the pair of ids; start: id of each byte; pieces: bytes of each id; special: ids by text.
 
-    codes and made are the merges again for short words: rank by the pair as one number, and id by rank.
+    codes and made are the merges again for short words: rank by the pair as one number, and id by rank. first (ranks of pairs of
+    bytes), keys and places (pairs as numbers in order, and their ranks) serve many words at once.
     """
 
     ranks: dict[tuple[int, int], tuple[int, int]]
@@ -66,6 +67,9 @@ class Tokenizer:
     special: dict[str, int]
     codes: dict[int, int]
     made: list[int]
+    first: np.ndarray
+    keys: np.ndarray
+    places: np.ndarray
 
     @staticmethod
     def read(path: str) -> Tokenizer:
@@ -81,7 +85,10 @@ class Tokenizer:
         for word, i in special.items():
             pieces[i] = word.encode()
         ranks = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
-        return Tokenizer(ranks, [vocab[c] for c in letters], pieces, special, {a << 32 | b: rank for (a, b), (rank, _) in ranks.items()}, [vocab[a + b] for a, b in pairs])
+        start, codes = [vocab[c] for c in letters], {a << 32 | b: rank for (a, b), (rank, _) in ranks.items()}
+        first = np.array([[codes.get(a << 32 | b, len(pairs)) for b in start] for a in start], dtype=np.int64).reshape(-1)
+        keys = np.array(sorted(codes), dtype=np.int64)
+        return Tokenizer(ranks, start, pieces, special, codes, [vocab[a + b] for a, b in pairs], first, keys, np.array([codes[k] for k in keys.tolist()], dtype=np.int64))
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """The ids of one pre-token: the first pair of least rank is merged, until no pair has a rank."""
@@ -104,6 +111,57 @@ class Tokenizer:
                 ranks[i] = rank(ids[i] << 32 | ids[i + 1], none)
         return tuple(ids)
 
+    def merge_all(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """merge of many words at once: in each round the first pair of least rank of every word that still has one."""
+        out: list[tuple[int, ...]] = [()] * len(words)
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        for i in np.flatnonzero((size > 200) | (size == 1)).tolist():
+            out[i] = self.merge(words[i])
+        who = np.flatnonzero((size > 1) & (size <= 200))
+        if not len(who):
+            return out
+        none, made, start = len(self.made), np.array([*self.made, -1], dtype=np.int64), np.array(self.start, dtype=np.int64)
+        buf = np.frombuffer(b"".join([words[i] for i in who.tolist()]), dtype=np.uint8).astype(np.int64)
+        size = size[who]
+        ids, rank = start[buf], np.full(len(buf), none, dtype=np.int64)
+        rank[:-1] = self.first[buf[:-1] * 256 + buf[1:]]
+        rank[np.cumsum(size) - 1] = none  # the last of a word has no pair
+        while len(who):
+            begin = np.concatenate(([0], np.cumsum(size)))
+            least = np.minimum.reduceat(rank, begin[:-1])
+            done = least == none
+            if done.any():
+                flat = ids.tolist()
+                for k in np.flatnonzero(done).tolist():
+                    out[who[k]] = tuple(flat[begin[k] : begin[k + 1]])
+                stay = np.repeat(~done, size)
+                ids, rank, who, size, least = ids[stay], rank[stay], who[~done], size[~done], least[~done]
+                if not len(who):
+                    break
+                begin = np.concatenate(([0], np.cumsum(size)))
+            owner = np.repeat(np.arange(len(who)), size)
+            hit = np.flatnonzero(rank == least[owner])
+            hit = hit[np.concatenate(([True], owner[hit[1:]] != owner[hit[:-1]]))]  # one for each word
+            ids[hit] = made[least]
+            keep = np.ones(len(ids), dtype=bool)
+            keep[hit + 1] = False
+            ids, rank = ids[keep], rank[keep]
+            at = hit - np.arange(len(hit))
+            size = size - 1
+            begin = np.concatenate(([0], np.cumsum(size)))
+            last = at == begin[1:] - 1
+            rank[at[last]] = none
+            self._rerank(ids, rank, at[~last])
+            self._rerank(ids, rank, at[at > begin[:-1]] - 1)
+        return out
+
+    def _rerank(self, ids: np.ndarray, rank: np.ndarray, at: np.ndarray) -> None:
+        """Ranks of the pairs that begin at some places."""
+        if len(at) and len(self.keys):
+            key = (ids[at] << 32) | ids[at + 1]
+            i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            rank[at] = np.where(self.keys[i] == key, self.places[i], len(self.made))
+
     def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
         """The same with a heap of pairs, in n log n steps, for words of any length."""
         from heapq import heapify, heappop, heappush
@@ -344,8 +402,9 @@ class Coder:
         if new:
             data = [t.encode() for t in new]
             rank = self.lexicon.rank(data).tolist() if self.lexicon else [-1] * len(data)
-            for t, b, r in zip(new, data, rank, strict=True):
-                self.memo[t] = self.lexicon.of(r) if r >= 0 else self.tokenizer.merge(b)
+            merged = iter(self.tokenizer.merge_all([b for b, r in zip(data, rank, strict=True) if r < 0]))
+            for t, r in zip(new, rank, strict=True):
+                self.memo[t] = self.lexicon.of(r) if r >= 0 else next(merged)
         memo = self.memo
         return [memo[t] for t in texts]
 

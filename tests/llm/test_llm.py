@@ -79,6 +79,9 @@ def test_transducer_is_minimal_and_exact(tokenizer):
     assert all(lexicon.of(int(r)) == own.merge(w) for w, r in zip(words[:-1], lexicon.rank(words[:-1]), strict=True))
     long = ("ab" * 300 + "the" * 500).encode()
     assert own.merge(long) == own._merge_long([own.start[b] for b in long])
+    rng = random.Random(3)
+    many = [bytes(rng.choice(b"abcdefghilnorstu e") for _ in range(rng.randint(0, 30))) for _ in range(800)] + [" the".encode(), "été中".encode(), long, b"a" * 150]
+    assert own.merge_all(many) == [own._merge_long([own.start[b] for b in w]) for w in many] == [own.merge(w) for w in many] and own.merge_all([]) == []
 
 
 def test_bpe_in_spark(spark, tokenizer):
