@@ -221,6 +221,27 @@ def test_large_corridors_run_tiled_with_the_same_routes(spark):
     assert runs[0] == runs[1] and len(runs[0]) == 3 and all(r[1] == "ok" for r in runs[0])
 
 
+def test_pairs_of_the_same_cells_are_searched_once(spark, monkeypatch):
+    rng = random.Random(8)
+    grid = [[float(rng.randint(1, 9)) for _ in range(12)] for _ in range(12)]
+    grid[1][1] = ND
+    meta = RasterMeta((1.0, 0.0, 0.0, 0.0, -1.0, 0.0), 12, 12, ND)
+    at = [(1, 1), (10, 2), (3, 9), (11, 11)]
+    pts = spark.createDataFrame([(i, *at[i * i % 7 % 4]) for i in range(30)] + [(30, 99, 0), (31, None, 2)], "id int, row int, col int")
+    seen, inside = [], R.corridor_search
+    monkeypatch.setattr(R, "corridor_search", lambda routes, *a: seen.append(routes.count()) or inside(routes, *a))
+    got = R.hierarchical(R.all_pairs(pts), frame(spark, grid), meta, RouteConfig(factors=(4,), buffer=50)).collect()
+    assert len(got) == 32 * 31 // 2 and len({(r.origin, r.dest) for r in got}) == len(got)
+    assert seen[0] <= len(at) ** 2
+    cell = {r.id: (r.row, r.col) for r in pts.collect()}
+    for r in got:
+        a, b = cell[r.origin], cell[r.dest]
+        want = search(grid, a, b)[0] if b in usable(grid, a) else None
+        assert (r.status, r.cost) == (("ok", want) if want is not None else ("unreachable", None))
+    sets = [sorted(tuple(x) for x in df.collect()) for df in (R.asked(R.all_pairs(pts)), R.asked_by_all(pts))]
+    assert sets[0] == sets[1]
+
+
 def test_a_route_that_fails_does_not_stop_the_others(spark, monkeypatch):
     grid = [[1.0] * 12 for _ in range(12)]
     meta = RasterMeta((1.0, 0.0, 0.0, 0.0, -1.0, 0.0), 12, 12, ND)
