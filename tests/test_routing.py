@@ -15,6 +15,8 @@ from fellpath.operators import grid as G
 from fellpath.operators import kernel as K
 from fellpath.operators import paths as P
 from fellpath.operators import vector as V
+from fellpath.plans import catalog as Q
+from fellpath.plans import fixture as T
 from fellpath.plans import routing as R
 from fellpath.plans import session as S
 
@@ -242,6 +244,29 @@ def test_pairs_of_the_same_cells_are_searched_once(spark, monkeypatch):
     assert sets[0] == sets[1]
 
 
+@pytest.fixture(scope="session")
+def tables(spark, tmp_path_factory):
+    """A folder with 400 suppliers, whose cells repeat after 192, and line items on every cell."""
+    folder = str(tmp_path_factory.mktemp("tables"))
+    spark.range(400).select(F.col("id").alias("s_suppkey")).write.parquet(f"{folder}/supplier.parquet")
+    items = spark.range(48 * 64 * 3).select((F.col("id") * 7 + 1).alias("l_orderkey"), (F.floor(F.col("id") / 64)).alias("l_partkey"), (F.col("id") % 23).alias("l_suppkey"), (F.col("id") % 3).cast("int").alias("l_linenumber"), (1 + F.xxhash64("id") % 25 + 25).cast("double").alias("l_quantity"))
+    items.write.parquet(f"{folder}/lineitem.parquet")
+    return folder
+
+
+def test_all_pairs_cost_searches_cells_not_pairs(spark, tables, monkeypatch):
+    seen, whole = [], R.full_search
+    monkeypatch.setattr(R, "full_search", lambda routes, *a: seen.append(routes.count()) or whole(routes, *a))
+    got = {(r.origin, r.dest): r.cost for r in Q.q_all_to_all_cost(spark, tables).collect()}
+    assert set(got) == {(a, b) for b in range(400) for a in range(b)} and seen[0] <= 192 * 192
+    raw = {(r.row, r.col): r for r in T.raster(spark, tables).collect()}
+    cell = {r.id: (r.row, r.col) for r in T.points(spark, tables).collect()}
+    for a in (0, 17, 209, 398):
+        cost = {k: r.cost for k, r in raw.items() if not r.nodata or k == cell[a]}
+        g = K.spread(cost, {cell[a]: 0.0}, T.DX, T.DY) if cell[a] in cost else {}
+        assert all(got[a, b] == g.get(cell[b]) for b in range(a + 1, 400))
+
+
 def test_a_route_that_fails_does_not_stop_the_others(spark, monkeypatch):
     grid = [[1.0] * 12 for _ in range(12)]
     meta = RasterMeta((1.0, 0.0, 0.0, 0.0, -1.0, 0.0), 12, 12, ND)
