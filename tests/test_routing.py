@@ -267,6 +267,15 @@ def test_all_pairs_cost_searches_cells_not_pairs(spark, tables, monkeypatch):
         assert all(got[a, b] == g.get(cell[b]) for b in range(a + 1, 400))
 
 
+def test_names_of_pairs_are_made_by_many_tasks(spark, tmp_path):
+    spark.range(60).select(F.col("id").alias("s_suppkey")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    out = Q.q_route_names(spark, str(tmp_path))
+    want = sorted((f"ruta_final_{a}_a_{b}.shp", f"ruta_fase1_desde_{a}_a_{b}.shp") for b in range(60) for a in range(b))
+    assert sorted(tuple(r) for r in out.collect()) == want
+    tasks = {r.task for r in out.select(F.spark_partition_id().alias("task")).distinct().collect()}
+    assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions"))  # the table is one file
+
+
 def test_a_route_that_fails_does_not_stop_the_others(spark, monkeypatch):
     grid = [[1.0] * 12 for _ in range(12)]
     meta = RasterMeta((1.0, 0.0, 0.0, 0.0, -1.0, 0.0), 12, 12, ND)
