@@ -114,6 +114,27 @@ def test_strategies_agree(spark):
     assert [r.seq for r in got] == list(range(len(got)))
 
 
+def test_tiles_moved_by_fronts_have_the_costs_of_heap_searches(spark, monkeypatch):
+    rng = random.Random(21)
+    grid = [[float(rng.choice((0, 1, 2, 5, 9))) if rng.random() > 0.3 else ND for _ in range(37)] for _ in range(41)]
+    grid[3][5], grid[40][0] = ND, 4.0
+    px = frame(spark, grid)
+    starts = {1: (3, 5), 2: (40, 0), 3: (99, 99)}  # impassable, at a corner, and no cell at all
+    sources = spark.createDataFrame([(k, *cell) for k, cell in starts.items()], "src int, row int, col int")
+    asked = [(r, c) for r in range(0, 41, 3) for c in range(0, 37, 4)]
+    goals = spark.createDataFrame([*asked, *asked, (-1, 4), (70, 70)], "row int, col int")
+    each = G.with_start(G.valid_pixels(px, ND), px, sources).crossJoin(sources.select("src")).join(sources.select("src", F.col("row").alias("r"), F.col("col").alias("c")), "src")
+    each = each.where(f"cost <> {ND} or (row = r and col = c)").select("src", "row", "col", "cost")  # each source has its own raw start only
+    want = {(k, *at): g for k, cell in starts.items() if cell[0] < 41 for at, g in K.spread(usable(grid, cell), {cell: 0.0}, 10.0, 30.0).items()}
+    monkeypatch.setattr(K, "FEW", 8)
+    for size in (7, 64):
+        got = {(r.src, r.row, r.col): r.g for r in K.tiled_field(each, sources, 10.0, 30.0, size).collect()}
+        assert got == want
+        some = K.tiled_field(each, sources, 10.0, 30.0, size, goals).collect()
+        assert len(some) == len({(r.src, r.row, r.col) for r in some})
+        assert {(r.src, r.row, r.col): r.g for r in some} == {k: g for k, g in want.items() if k[1:] in set(asked)}
+
+
 def test_downsample_extent_covers_everything(spark):
     grid = [[float(r * 9 + c) for c in range(9)] for r in range(7)]
     meta = RasterMeta((1.0, 0.0, 0.0, 0.0, -1.0, 0.0), 7, 9)
